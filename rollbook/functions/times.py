@@ -39,6 +39,11 @@ def utc_in_zone(ts_ntz: Column, zone: str) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts_ntz)
 
 
+def instant_of_utc(ts_ntz: Column) -> Column:
+    """The instant a UTC wall clock names."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts_ntz).cast("timestamp")
+
+
 def millis(ts: Column) -> Column:
     """Truncate to the stored millisecond."""
     return F.date_trunc("MILLISECOND", ts).cast("timestamp_ntz")

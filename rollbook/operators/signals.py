@@ -48,14 +48,19 @@ def _successors(ts: np.ndarray, freq: int) -> np.ndarray:
     return np.searchsorted(ts, ts + freq, side="right")
 
 
-def _chain_exits(ts: np.ndarray, freq: int) -> np.ndarray:
-    """Per event, the last time accepted in the block if the chain enters at that event."""
-    after = _successors(ts, freq)
-    exits = ts.copy()
-    for i in range(len(ts) - 1, -1, -1):
-        if after[i] < len(ts):
-            exits[i] = exits[after[i]]
-    return exits
+def _chain_exits(ts: np.ndarray, freq: int, entries: int) -> np.ndarray:
+    """For each of the first `entries` events: the last time accepted if the chain enters there.
+
+    All entries hop together; a block of n spacings takes at most n hops.
+    """
+    after = np.append(_successors(ts, freq), len(ts))
+    at = np.arange(entries)
+    while True:
+        onward = after[at]
+        moving = onward < len(ts)
+        if not moving.any():
+            return ts[at]
+        at = np.where(moving, onward, at)
 
 
 def _accepted(ts: np.ndarray, freq: int, last: int | None) -> np.ndarray:
@@ -75,39 +80,31 @@ def throttled(
 ) -> DataFrame:
     """Events that pass the spacing. Events of a key at the same time pass or fail together.
 
-    `started` gives (key, start_ts): the time the first spacing counts from. Without it a key's
-    first event passes.
+    `started` gives (key, start_ts), the time the first spacing counts from; keys without one
+    have no signals. When it is not given at all, a key's first event passes.
     """
     spacing = max(1, int(freq / dt.timedelta(microseconds=1)))
     width = spacing * block_spacings
     timed = events.withColumn("_us", micros(F.col(ts)))
-    times = timed.select(F.col(key).alias("k"), F.col("_us").alias("us")).distinct()
     if started is not None:
-        first = started.select(
-            F.col(key).alias("k"), micros(F.col("start_ts")).alias("start")).distinct()
-        times = times.join(first, "k", "left")
-    else:
-        times = times.withColumn("start", F.lit(None).cast("long"))
-    blocks = times.withColumn("b", F.floor(F.col("us") / F.lit(width)).cast("long"))
+        first = started.select(key, micros(F.col("start_ts")).alias("_start")).distinct()
+        timed = timed.join(first, key).where(
+            F.col("_us") > F.col("_start") + F.lit(spacing)).drop("_start")
+    blocks = timed.select(
+        F.col(key).alias("k"), F.floor(F.col("_us") / F.lit(width)).cast("long").alias("b"),
+        F.col("_us").alias("us")).distinct()
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["us"].to_numpy("int64"))
-        exits = _chain_exits(t, spacing)
-        # Entry is possible up to `spacing` into the block, and at the first event beyond.
-        n = min(len(t), int(np.searchsorted(t, pdf["b"].iloc[0] * width + spacing, "right")) + 1)
-        start = pdf["start"].iloc[0]
-        if not pd.isna(start):  # the start may fall inside the block
-            n = max(n, min(len(t), int(np.searchsorted(t, start + spacing, "right")) + 1))
+        b = pdf["b"].iloc[0]
+        # The chain enters within one spacing of the block's start, or at the first event beyond.
+        n = min(len(t), int(np.searchsorted(t, b * width + spacing, side="right")) + 1)
         return pd.DataFrame({
-            "k": pdf["k"].iloc[0], "b": pdf["b"].iloc[0], "us": t[:n], "leave": exits[:n],
-            "start": start if not pd.isna(start) else None}).astype({"start": "Int64"})
+            "k": pdf["k"].iloc[0], "b": b, "us": t[:n], "leave": _chain_exits(t, spacing, n)})
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["b", "us"])
-        start = pdf["start"].iloc[0]
-        last = None if pd.isna(start) else int(start)
-        rows = []
-        for b, part in pdf.groupby("b", sort=True):
+        last, rows = None, []
+        for b, part in pdf.sort_values(["b", "us"]).groupby("b", sort=True):
             rows.append((pdf["k"].iloc[0], b, last))
             t = part["us"].to_numpy("int64")
             i = 0 if last is None else int(np.searchsorted(t, last + spacing, side="right"))
@@ -115,15 +112,15 @@ def throttled(
                 last = int(part["leave"].to_numpy("int64")[i])
         return pd.DataFrame(rows, columns=["k", "b", "last"]).astype({"last": "Int64"})
 
-    def mark(key_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def mark(ids: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         last = right["last"].iloc[0]
         t = np.sort(left["us"].to_numpy("int64"))
         taken = _accepted(t, spacing, None if pd.isna(last) else int(last))
-        return pd.DataFrame({"k": key_[0], "us": taken})
+        return pd.DataFrame({"k": ids[0], "us": taken})
 
     kind = events.schema[key].dataType.simpleString()
     reports = blocks.groupBy("k", "b").applyInPandas(
-        report, f"k {kind}, b long, us long, leave long, start long")
+        report, f"k {kind}, b long, us long, leave long")
     entries = reports.groupBy("k").applyInPandas(link, f"k {kind}, b long, last long")
     taken = blocks.groupBy("k", "b").cogroup(entries.groupBy("k", "b")).applyInPandas(
         mark, f"k {kind}, us long")
