@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.times import micros, ntz
@@ -77,12 +77,15 @@ def number_steps(times: DataFrame) -> DataFrame:
 
 
 def build_grid(times: DataFrame) -> Grid:
-    """Write the numbered grid to the shared folder and measure it."""
-    steps = materialize(number_steps(times), "grid")
-    start, end, last = steps.agg(F.min("ts"), F.max("ts"), F.max("step")).first()
-    if last is None:
+    """Write the numbered grid to the shared folder, measuring it on the way."""
+    seen = Observation()
+    numbered = number_steps(times).observe(
+        seen, F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("step").alias("last"))
+    steps = materialize(numbered, "grid")
+    found = seen.get
+    if found["last"] is None:
         raise ValueError("no times to update")
-    return Grid(steps, start, end, last)
+    return Grid(steps, found["start"], found["end"], found["last"])
 
 
 def assign_steps(df: DataFrame, ts: str, grid: Grid) -> DataFrame:

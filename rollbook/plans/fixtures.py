@@ -6,9 +6,16 @@ to binary fractions, so sums of doubles do not depend on their order.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollbook.functions.times import ntz
+
+# Opening time of the books, before the first shipment.
+OPENED = dt.datetime(1994, 12, 1)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -110,25 +117,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opening_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cash of ports 1 and 2 in USD and of port 1 in EUR, a month before the first event."""
-    opened = events(spark, sf_dir).agg(
-        (F.min("event_ts") - F.expr("INTERVAL 1 MONTH")).alias("timestamp"))
-    customers = table(spark, sf_dir, "customer").agg(
-        F.sum(F.floor("c_acctbal")).cast("double").alias("c"))
-    suppliers = table(spark, sf_dir, "supplier").agg(
-        F.sum(F.floor("s_acctbal")).cast("double").alias("s"))
-    rows = F.array(
-        F.struct(F.lit("1").alias("port"), F.lit("USD").alias("ccy"), F.col("c").alias("v")),
-        F.struct(F.lit("1").alias("port"), F.lit("EUR").alias("ccy"), F.col("c").alias("v")),
-        F.struct(F.lit("2").alias("port"), F.lit("USD").alias("ccy"), F.col("s").alias("v")))
-    one = F.lit(1).alias("_one")
-    return (
-        opened.withColumn("_one", one)
-        .join(customers.withColumn("_one", one), "_one")
-        .join(suppliers.withColumn("_one", one), "_one")
-        .select("timestamp", F.explode(rows).alias("r"))
-        .select("timestamp", "r.port", "r.ccy", F.col("r.v").alias("amount"),
-                F.col("r.v").alias("cost_basis")))
+    """Cash of ports 1 and 2 in USD and of port 1 in EUR, before the first event."""
+    def rows(name: str, balance: str, *held: tuple[str, str]) -> DataFrame:
+        total = table(spark, sf_dir, name).agg(
+            F.sum(F.floor(balance)).cast("double").alias("amount"))
+        pairs = F.array(*[
+            F.struct(F.lit(p).alias("port"), F.lit(c).alias("ccy")) for p, c in held])
+        return total.select(F.explode(pairs).alias("h"), "amount")
+
+    both = rows("customer", "c_acctbal", ("1", "USD"), ("1", "EUR")).unionByName(
+        rows("supplier", "s_acctbal", ("2", "USD")))
+    return both.select(
+        ntz(OPENED).alias("timestamp"), "h.port", "h.ccy", "amount",
+        F.col("amount").alias("cost_basis"))
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,8 +47,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION
         SELECT CAST(date_trunc('month', l_shipdate) AS TIMESTAMP) + INTERVAL 1 MONTH
         FROM lineitem"""),
-    "cash0": (("evs",), """
-        SELECT (SELECT min(event_ts) - INTERVAL 1 MONTH FROM evs) AS timestamp, port, ccy,
+    "cash0": ((), """
+        SELECT TIMESTAMP '1994-12-01' AS timestamp, port, ccy,
                CASE port WHEN '1' THEN (SELECT CAST(sum(floor(c_acctbal)) AS DOUBLE) FROM customer)
                     ELSE (SELECT CAST(sum(floor(s_acctbal)) AS DOUBLE) FROM supplier) END AS amount
         FROM (VALUES ('1', 'USD'), ('1', 'EUR'), ('2', 'USD')) v(port, ccy)"""),
@@ -440,7 +440,7 @@ def oracle_sql() -> dict[str, str]:
         "open_orders": _sql("""
             SELECT sessionId, order_itag, secId, totalQty, placed_timestamp FROM record
             WHERE status = 'open' AND sessionId = (
-                SELECT strftime(max(o_orderdate), '%y%m%d') FROM orders)""", "record"),
+                SELECT strftime(max(o_orderdate), '%y%m%d') FROM orders WHERE o_orderstatus = 'O')""", "record"),
         "filled_totals": _sql("""
             SELECT api_internal_tag, api_clientId, secId, sum(tradeQty) AS totalQty FROM flat
             GROUP BY ALL""", "flat"),
@@ -499,4 +499,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_orderkey AS id, l_shipdate AS event_ts FROM lineitem
             WHERE l_shipdate > (SELECT max(o_orderdate) - INTERVAL 90 DAY FROM orders
                                 WHERE o_orderstatus = 'F')""",
+        "stream_replay_positions": _sql(f"""
+            SELECT timestamp, port, ticker, amount, {c('avgPrice')} AS avgPrice, {c('price')} AS price,
+                   price_source, {c('mtm')} AS mtm FROM equity""", "equity"),
+        "stream_late_recompute": _sql(f"""
+            SELECT timestamp, port, ticker, amount, {c('avgPrice')} AS avgPrice, {c('price')} AS price,
+                   price_source, {c('mtm')} AS mtm FROM equity""", "equity"),
+        "stream_signals_throttled": _sql("""
+            SELECT tick_id, t.ticker FROM ticks t
+            JOIN chain_all c ON c.ticker = t.ticker AND c.last = t.date""", "chain_all"),
     }

@@ -34,21 +34,19 @@ def plan_grid(cash: DataFrame, events: DataFrame) -> Grid:
     return build_grid(times_to_update(cash, events, None if start is None else ntz(start)))
 
 
-def update(
+def roll(
+    grid: Grid,
     equity: DataFrame | None,
     cash: DataFrame,
     fills: DataFrame,
     alloc: DataFrame,
     prices: DataFrame,
-    events: DataFrame,
     trade_ccy: str = "USD",
 ) -> Update:
-    """Roll equity and cash forward over the events.
+    """Equity and cash after `grid.start`, opened by the rows stored at that time.
 
-    `equity` and `cash` are the stored tables; rows at the start time open the run, rows after
-    it are recomputed. Netted trades are written once, as equity and cash both read them.
+    Netted trades are written once, as equity, its prices and cash all read them.
     """
-    grid = plan_grid(cash, events)
     at_start = F.col("timestamp") == ntz(grid.start)
     trades = materialize(step_trades(fills, alloc, grid), "trades")
     opening = None if equity is None else equity.where(at_start)
@@ -58,6 +56,22 @@ def update(
         roll_cash(trades, cash.where(at_start), grid, trade_ccy))
 
 
+def update(
+    equity: DataFrame | None,
+    cash: DataFrame,
+    fills: DataFrame,
+    alloc: DataFrame,
+    prices: DataFrame,
+    events: DataFrame,
+    trade_ccy: str = "USD",
+) -> Update:
+    """Roll the stored equity and cash tables forward over the events.
+
+    Rows at the latest time before the first event open the run, rows after it are recomputed.
+    """
+    return roll(plan_grid(cash, events), equity, cash, fills, alloc, prices, trade_ccy)
+
+
 def replace_suffix(stored: DataFrame, recomputed: DataFrame, grid: Grid) -> DataFrame:
     """History up to the start time followed by the recomputed rows."""
     kept = stored.where(F.col("timestamp") <= ntz(grid.start))

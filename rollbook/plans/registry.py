@@ -15,7 +15,11 @@ from rollbook.operators import cash as cash_ops
 from rollbook.operators import execution, fills, grid, orders, positions, reports, signals
 from rollbook.plans import fixtures as fx
 from rollbook.plans.portfolio import Update, plan_grid, replace_suffix, update
+from rollbook.session import materialize, scratch_path
 from rollbook.sources import broker, messages, prices, relational, tables
+from rollbook.streaming import portfolio as stream_book
+from rollbook.streaming import replay
+from rollbook.streaming.signals import throttled_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -89,7 +93,6 @@ def csv_ingest_ny(spark: SparkSession, d: str) -> DataFrame:
 
 def csv_mapped_file(spark: SparkSession, d: str) -> DataFrame:
     """Ticks written as CSV to the shared folder and read back under other names."""
-    from rollbook.session import scratch_path
     path = scratch_path(spark, "ticks-csv")
     fx.ticks(spark, d).select(
         F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("Time"),
@@ -253,7 +256,6 @@ def positions_priced(spark: SparkSession, d: str) -> DataFrame:
 def positions_open_carry(spark: SparkSession, d: str) -> DataFrame:
     """Restart in mid-history from stored positions; history before it stays."""
     first = _update(spark, d)
-    from rollbook.session import materialize
     equity = materialize(first.equity, "equity")
     opening = fx.opening_cash(spark, d)
     cash = materialize(opening.unionByName(first.cash), "cash")
@@ -508,7 +510,7 @@ def placed_orders(spark: SparkSession, d: str) -> DataFrame:
 
 def open_orders(spark: SparkSession, d: str) -> DataFrame:
     record = fx.order_record(spark, d)
-    session = fx.table(spark, d, "orders").agg(
+    session = fx.table(spark, d, "orders").where(F.col("o_orderstatus") == "O").agg(
         F.date_format(F.max("o_orderdate"), "yyMMdd")).first()[0]
     return execution.open_orders(record, session=F.lit(session)).select(
         "sessionId", "order_itag", "secId", "totalQty", "placed_timestamp")
@@ -620,6 +622,55 @@ def events_newer(spark: SparkSession, d: str) -> DataFrame:
             (F.col("o_orderdate") - F.expr("INTERVAL 90 DAY")).alias("timestamp")))
 
 
+# -- streams --------------------------------------------------------------------------------------
+
+def _replayed(spark: SparkSession, d: str, files: int, late_first: bool) -> DataFrame:
+    """Prices and bare events replayed through the streaming portfolio; its equity table."""
+    quotes = fx.prices(spark, d)
+    bare = fx.events(spark, d).select(
+        F.col("event_ts").alias("date"), F.lit(None).cast("string").alias("ticker"),
+        F.lit(None).cast("double").alias("price"),
+        F.lit(None).cast("timestamp_ntz").alias("timestamp_write"))
+    rows = quotes.unionByName(bare)
+    root = scratch_path(spark, "stream")
+    replay.write_replay(rows, f"{root}/in", "date", files, late_first)
+    book = stream_book.open_book(
+        spark, f"{root}/book", fx.opening_cash(spark, d),
+        lambda lo, hi: fills.in_interval(fx.fills(spark, d), lo, hi), lambda: fx.alloc(spark, d))
+    stream_book.start(
+        book, replay.read_replay(spark, f"{root}/in", rows), f"{root}/checkpoint", every=None
+    ).awaitTermination()
+    return book.equity.read().select(
+        "timestamp", "port", "ticker", "amount", _cents("avgPrice").alias("avgPrice"),
+        _cents("price").alias("price"), "price_source", _cents("mtm").alias("mtm"))
+
+
+def stream_replay_positions(spark: SparkSession, d: str) -> DataFrame:
+    return _replayed(spark, d, 3, late_first=False)
+
+
+def stream_late_recompute(spark: SparkSession, d: str) -> DataFrame:
+    return _replayed(spark, d, 2, late_first=True)
+
+
+def stream_signals_throttled(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks replayed in several batches; a last row far ahead lets the watermark pass all."""
+    ticks = fx.ticks(spark, d).select("date", "ticker", "tick_id")
+    last = ticks.agg(
+        (F.max("date") + F.expr("INTERVAL 10 DAY")).alias("date"), F.lit("close").alias("ticker"),
+        F.lit(-1).cast("long").alias("tick_id"))
+    root = scratch_path(spark, "stream")
+    replay.write_replay(ticks.unionByName(last), f"{root}/in", "date", 3)
+    out = throttled_stream(
+        replay.read_replay(spark, f"{root}/in", ticks), THROTTLE, "1 hour")
+    (
+        out.writeStream.format("parquet").option("path", f"{root}/out")
+        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        .awaitTermination())
+    passed = spark.read.parquet(f"{root}/out")
+    return passed.select(F.col("id").alias("tick_id"), "ticker")
+
+
 def queries() -> dict[str, Query]:
     listed = [
         scan_prices_day, price_last_date, price_union_dedupe, price_upsert_latest, price_conform,
@@ -642,6 +693,7 @@ def queries() -> dict[str, Query]:
         filled_count_check, fill_record_append, fill_confirmations, fill_events_encoded,
         event_decode, event_admission, event_times, data_event_encode, event_coverage,
         missing_tickers, events_newer,
+        stream_replay_positions, stream_late_recompute, stream_signals_throttled,
     ]
     return {f.__name__: f for f in listed}
 
