@@ -49,11 +49,14 @@ def millis(ts: Column) -> Column:
     return F.date_trunc("MILLISECOND", ts).cast("timestamp_ntz")
 
 
+def seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 of a wall clock, independent of the session zone."""
+    return (
+        F.unix_date(ts.cast("date")).cast("long") * F.lit(86_400)
+        + F.hour(ts) * F.lit(3_600) + F.minute(ts) * F.lit(60) + F.second(ts))
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a wall clock, independent of the session zone."""
-    seconds = (
-        F.unix_date(ts.cast("date")).cast("long") * F.lit(86_400)
-        + F.hour(ts) * F.lit(3_600) + F.minute(ts) * F.lit(60))
-    return (
-        seconds.cast("long") * F.lit(1_000_000)
-        + (F.extract(F.lit("SECOND"), ts) * F.lit(1_000_000)).cast("long"))
+    fraction = F.extract(F.lit("SECOND"), ts) % F.lit(1)
+    return seconds(ts) * F.lit(1_000_000) + (fraction * F.lit(1_000_000)).cast("long")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from rollbook.functions.times import micros, ntz
+from rollbook.functions.times import micros, ntz, seconds
 from rollbook.session import materialize
 
 # A grid of at most this many steps (about 30 bytes each) is broadcast; a longer one is shuffled.
@@ -88,18 +89,24 @@ def build_grid(times: DataFrame) -> Grid:
     return Grid(steps, found["start"], found["end"], found["last"])
 
 
+def _buckets(pitch: dt.timedelta) -> Callable[[Column], Column]:
+    """Time to a bucket number of about `pitch`, by the cheapest unit that is fine enough."""
+    if pitch >= dt.timedelta(days=1):
+        return lambda c: F.floor(F.unix_date(c.cast("date")) / F.lit(pitch.days))
+    if pitch >= dt.timedelta(seconds=1):
+        return lambda c: F.floor(seconds(c) / F.lit(int(pitch.total_seconds())))
+    width = max(1, pitch // dt.timedelta(microseconds=1))
+    return lambda c: F.floor(micros(c) / F.lit(width))
+
+
 def assign_steps(df: DataFrame, ts: str, grid: Grid) -> DataFrame:
     """Add the step whose interval (prev_ts, ts] holds each row's time.
 
     Rows outside the grid are left out. The range condition becomes an equi-join: time is cut
     into buckets of the mean step length, so a bucket meets few steps whatever the grid's pitch.
     """
-    span = int((grid.end - grid.start) / dt.timedelta(microseconds=1))
-    width = F.lit(max(1, span // max(1, grid.last_step)))
-
-    def bucket(c: Column) -> Column:
-        return F.floor(micros(c) / width)
-
+    pitch = (grid.end - grid.start) / max(1, grid.last_step)
+    bucket = _buckets(pitch)
     intervals = (
         grid.steps.where(F.col("step") > 0)
         .select(

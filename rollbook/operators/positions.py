@@ -8,7 +8,7 @@ spreads a hot ticker over its steps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from rollbook.functions.money import snap_flat, trade_price
@@ -41,28 +41,37 @@ def all_trades(trades: DataFrame, opening: DataFrame | None) -> DataFrame:
 def trade_states(trades: DataFrame) -> DataFrame:
     """Position after each trade.
 
-    An episode ends with the step at which the amount returns to zero; cost basis and marks do
+    `mark` is the last trade price of the episode, `mark_step` the step from which a market
+    quote overrides it; `mark_prev` and `mark_prev_step` say the same of the step before. An
+    episode ends with the step at which the amount returns to zero; cost basis and marks do
     not pass from one episode to the next.
     """
     by_step = Window.partitionBy(*KEY).orderBy("step")
-    rows = (
-        trades
-        .withColumn("amount", snap_flat(F.sum("dq").over(by_step)))
-        .withColumn("next_step", F.lead("step").over(by_step))
-        .withColumn("amount_prev", F.lag("amount", 1, 0.0).over(by_step))
-        .withColumn("episode", F.coalesce(
-            F.sum(F.when(F.col("amount") == 0.0, 1).otherwise(0)).over(
-                by_step.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    sofar = by_step.rowsBetween(Window.unboundedPreceding, 0)
+    before = by_step.rowsBetween(Window.unboundedPreceding, -1)
+    rows = trades.select(
+        *KEY, "step", "dq", "cost", "paid",
+        snap_flat(F.sum("dq").over(sofar)).alias("amount"),
+        snap_flat(F.coalesce(F.sum("dq").over(before), F.lit(0.0))).alias("amount_prev"),
+        F.lead("step").over(by_step).alias("next_step"),
+        F.when(F.col("paid").isNotNull(), F.col("step")).alias("paid_step"))
+    closed = F.when(F.col("amount") == 0.0, 1).otherwise(0)
+    rows = rows.withColumn("episode", F.coalesce(F.sum(closed).over(before), F.lit(0)))
     in_episode = Window.partitionBy(*KEY, "episode").orderBy("step")
-    paid_at = F.when(F.col("paid").isNotNull(), F.struct("step", "paid"))
     upto = in_episode.rowsBetween(Window.unboundedPreceding, 0)
     earlier = in_episode.rowsBetween(Window.unboundedPreceding, -1)
+    opened = F.first("step").over(upto)
+
+    def last(name: str, over: WindowSpec) -> Column:
+        return F.last(name, ignorenulls=True).over(over)
+
     return rows.select(
-        *KEY, "step", "next_step", "dq", "cost", "paid", "amount", "amount_prev", "episode",
+        *KEY, "step", "next_step", "cost", "paid", "amount", "amount_prev",
         F.sum("cost").over(upto).alias("basis"),
-        F.first("step").over(upto).alias("opened"),
-        F.last(paid_at, ignorenulls=True).over(upto).alias("paid_now"),
-        F.last(paid_at, ignorenulls=True).over(earlier).alias("paid_before"))
+        last("paid", upto).alias("mark"),
+        F.coalesce(last("paid_step", upto), opened).alias("mark_step"),
+        last("paid", earlier).alias("mark_prev"),
+        F.coalesce(last("paid_step", earlier), opened).alias("mark_prev_step"))
 
 
 def avg_price() -> Column:
@@ -73,21 +82,15 @@ def avg_price() -> Column:
 def open_steps(states: DataFrame, last_step: int) -> DataFrame:
     """One row per step from each trade until the next, or the trade's own step if it closes.
 
-    `mark` and `mark_step` are the last trade price of the episode and the step from which a
-    market quote overrides it. What only a trade changes is in `trade`, NULL at other steps, to
-    keep the many copied rows narrow.
+    What only a trade changes is in `trade`, NULL at other steps, to keep the many copied rows
+    narrow.
     """
     until = F.when(F.col("amount") == 0.0, F.col("step")).otherwise(
         F.coalesce(F.col("next_step") - 1, F.lit(last_step)))
-    trade = F.struct(
-        "amount_prev", "cost", "paid",
-        F.col("paid_before.paid").alias("mark"),
-        F.coalesce("paid_before.step", "opened").alias("mark_step"))
+    trade = F.struct("amount_prev", "cost", "paid", "mark_prev", "mark_prev_step")
     return (
         states.select(
-            *KEY, "step", "amount", avg_price().alias("avgPrice"),
-            F.col("paid_now.paid").alias("mark"),
-            F.coalesce("paid_now.step", "opened").alias("mark_step"),
+            *KEY, "step", "amount", avg_price().alias("avgPrice"), "mark", "mark_step",
             trade.alias("trade"), F.explode(F.sequence("step", until)).alias("at"))
         .where(F.col("at") > 0)  # step 0 is the opening time itself
         .select(
@@ -145,7 +148,8 @@ def marked_positions(dense: DataFrame, quotes: DataFrame) -> DataFrame:
             F.col("trade").isNull(), F.col(now)).otherwise(F.col(f"trade.{name}"))
 
     amount_prev = before("amount_prev", "amount")
-    mark_prev = _mark("quote_before", before("mark", "mark"), before("mark_step", "mark_step"))
+    mark_prev = _mark("quote_before", before("mark_prev", "mark"),
+                      before("mark_prev_step", "mark_step"))
     source = (
         F.when(F.col("quote.step") == F.col("step"), "vector")
         .when(F.col("trade.paid").isNotNull(), "trade")
