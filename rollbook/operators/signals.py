@@ -14,6 +14,7 @@ import datetime as dt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,35 +95,38 @@ def throttled(
         F.col(key).alias("k"), F.floor(F.col("_us") / F.lit(width)).cast("long").alias("b"),
         F.col("_us").alias("us")).distinct()
 
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf["us"].to_numpy("int64"))
-        b = pdf["b"].iloc[0]
+    def report(rows: pa.Table) -> pa.Table:
+        t = np.sort(rows["us"].to_numpy())
+        b = rows["b"][0].as_py()
         # The chain enters within one spacing of the block's start, or at the first event beyond.
         n = min(len(t), int(np.searchsorted(t, b * width + spacing, side="right")) + 1)
-        return pd.DataFrame({
-            "k": pdf["k"].iloc[0], "b": b, "us": t[:n], "leave": _chain_exits(t, spacing, n)})
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = None, []
-        for b, part in pdf.sort_values(["b", "us"]).groupby("b", sort=True):
-            rows.append((pdf["k"].iloc[0], b, last))
-            t = part["us"].to_numpy("int64")
-            i = 0 if last is None else int(np.searchsorted(t, last + spacing, side="right"))
-            if i < len(t):
-                last = int(part["leave"].to_numpy("int64")[i])
-        return pd.DataFrame(rows, columns=["k", "b", "last"]).astype({"last": "Int64"})
-
-    def mark(ids: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        last = right["last"].iloc[0]
-        t = np.sort(left["us"].to_numpy("int64"))
-        taken = _accepted(t, spacing, None if pd.isna(last) else int(last))
-        return pd.DataFrame({"k": ids[0], "us": taken})
+        return rows.slice(0, n).select(["k", "b"]).append_column(
+            "us", pa.array(t[:n])).append_column("leave", pa.array(_chain_exits(t, spacing, n)))
+
+    def link(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("b", "ascending"), ("us", "ascending")])
+        b, t, leave = (rows[c].to_numpy() for c in ("b", "us", "leave"))
+        blocks_, first = np.unique(b, return_index=True)
+        ends = np.append(first[1:], len(b))
+        last, entered = None, []
+        for lo, hi in zip(first, ends):
+            entered.append(last)
+            at = lo if last is None else lo + int(
+                np.searchsorted(t[lo:hi], last + spacing, side="right"))
+            if at < hi:
+                last = int(leave[at])
+        return rows.slice(0, len(first)).select(["k"]).append_column(
+            "b", pa.array(blocks_)).append_column("last", pa.array(entered, pa.int64()))
+
+    def mark(rows: pa.Table, entry: pa.Table) -> pa.Table:
+        taken_ = _accepted(np.sort(rows["us"].to_numpy()), spacing, entry["last"][0].as_py())
+        return rows.slice(0, len(taken_)).select(["k"]).append_column("us", pa.array(taken_))
 
     kind = events.schema[key].dataType.simpleString()
-    reports = blocks.groupBy("k", "b").applyInPandas(
+    reports = blocks.groupBy("k", "b").applyInArrow(
         report, f"k {kind}, b long, us long, leave long")
-    entries = reports.groupBy("k").applyInPandas(link, f"k {kind}, b long, last long")
-    taken = blocks.groupBy("k", "b").cogroup(entries.groupBy("k", "b")).applyInPandas(
+    entries = reports.groupBy("k").applyInArrow(link, f"k {kind}, b long, last long")
+    taken = blocks.groupBy("k", "b").cogroup(entries.groupBy("k", "b")).applyInArrow(
         mark, f"k {kind}, us long")
     passed = taken.withColumnsRenamed({"k": key, "us": "_us"})
     return timed.join(passed, [key, "_us"], "left_semi").drop("_us")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.functions.times import ntz
+from rollbook.session import spread
 
 # Opening time of the books, before the first shipment.
 OPENED = dt.datetime(1994, 12, 1)
@@ -61,7 +62,8 @@ def _trade_qty() -> Column:
 
 def raw_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lineitem row as one fill."""
-    return table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    return rows.select(
         F.lit("STK").alias("secType"),
         _ticker().alias("secId"),
         F.col("l_orderkey").cast("string").alias("order_itag"),
@@ -113,7 +115,8 @@ def alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lineitem row as a write of its part's price for the month."""
-    return table(spark, sf_dir, "lineitem").select(
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+    return rows.select(
         _month("l_shipdate").alias("date"), _ticker().alias("ticker"),
         _tick_price().alias("price"), F.col("l_shipdate").alias("timestamp_write"))
 
