@@ -123,3 +123,7 @@ def assert_same(got, want):
                 assert x is not None and abs(x - y) <= 1e-6 * max(1.0, abs(y)), (key, got[key], row)
             else:
                 assert x == y, (key, got[key], row)
+
+
+def fields(schema):
+    return [(f.name, f.dataType) for f in schema]
