@@ -62,13 +62,12 @@ def mark_filled(orders: DataFrame, matched: DataFrame, now: Column) -> DataFrame
 def filled_counts(orders: DataFrame, matched: DataFrame) -> DataFrame:
     """One row: orders to update and distinct filled tags, which must agree."""
     tags = filled_tags(matched)
-    to_update = orders.join(tags, "order_itag", "left_semi").agg(
-        F.count(F.lit(1)).alias("n_orders"))
-    n_tags = tags.agg(F.count(F.lit(1)).alias("n_tags"))
-    one = F.lit(1)
+    n_tags = tags.agg(F.count(F.lit(1))).scalar()
     return (
-        to_update.withColumn("_one", one).join(n_tags.withColumn("_one", one), "_one")
-        .select("n_orders", "n_tags", (F.col("n_orders") == F.col("n_tags")).alias("consistent")))
+        orders.join(tags, "order_itag", "left_semi")
+        .agg(F.count(F.lit(1)).alias("n_orders"))
+        .withColumn("n_tags", n_tags)
+        .withColumn("consistent", F.col("n_orders") == F.col("n_tags")))
 
 
 def check_filled_counts(orders: DataFrame, matched: DataFrame) -> None:

@@ -15,6 +15,11 @@ from rollbook.session import materialize
 # A grid of at most this many steps (about 30 bytes each) is broadcast; a longer one is shuffled.
 BROADCAST_STEPS = 500_000
 
+# Up to this many steps, all netted rows of one ticker and portfolio are ordered in one task.
+# On a longer grid they are ordered in blocks of `BLOCK_STEPS` and the blocks are linked.
+WINDOW_STEPS = 1_000_000
+BLOCK_STEPS = 100_000
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -29,6 +34,11 @@ class Grid:
     def small(self) -> bool:
         return self.last_step <= BROADCAST_STEPS
 
+    @property
+    def block(self) -> int | None:
+        """Steps per block of a window, or None when the grid is short enough for one."""
+        return None if self.last_step <= WINDOW_STEPS else BLOCK_STEPS
+
     def hinted(self, df: DataFrame) -> DataFrame:
         """Broadcast a table of the grid's order of size, if the grid is short enough."""
         return F.broadcast(df) if self.small else df
@@ -36,11 +46,8 @@ class Grid:
 
 def start_before(existing: DataFrame, events: DataFrame, ts: str = "timestamp") -> DataFrame:
     """One row: the latest existing time strictly before the earliest event (NULL if none)."""
-    first = events.agg(F.min("event_ts").alias("first_event"))
-    return (
-        existing.select(F.col(ts).alias("_ts"))
-        .join(F.broadcast(first), F.col("_ts") < F.col("first_event"))  # one row by construction
-        .agg(F.max("_ts").alias("start_ts")))
+    first = events.agg(F.min("event_ts")).scalar()
+    return existing.where(F.col(ts) < first).agg(F.max(ts).alias("start_ts"))
 
 
 def times_to_update(

@@ -38,40 +38,103 @@ def all_trades(trades: DataFrame, opening: DataFrame | None) -> DataFrame:
     return rows.unionByName(opening_trades(opening))
 
 
-def trade_states(trades: DataFrame) -> DataFrame:
+def trade_states(trades: DataFrame, block: int | None = None) -> DataFrame:
     """Position after each trade.
 
     `mark` is the last trade price of the episode, `mark_step` the step from which a market
     quote overrides it; `mark_prev` and `mark_prev_step` say the same of the step before. An
     episode ends with the step at which the amount returns to zero; cost basis and marks do
     not pass from one episode to the next.
+
+    With `block`, no task orders more than one block of steps of a position: what a block takes
+    over from those before it comes from one summary row per block.
     """
-    by_step = Window.partitionBy(*KEY).orderBy("step")
+    blocks = (F.lit(0) if block is None else F.floor(F.col("step") / F.lit(block))).alias("block")
+    rows = trades.select(*KEY, "step", "dq", "cost", "paid", blocks)
+    group = [*KEY, "block"] if block else KEY
+    over_blocks = Window.partitionBy(*KEY).orderBy("block")
+    if block is None:
+        held, following = F.lit(0.0), F.lit(None).cast("long")
+    else:
+        taken = rows.groupBy(*group).agg(
+            F.sum("dq").alias("dq"), F.min("step").alias("first")).select(
+            *group,
+            F.coalesce(F.sum("dq").over(
+                over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("held"),
+            F.lead("first").over(over_blocks).alias("following"))
+        rows = rows.join(taken, group)
+        held, following = F.col("held"), F.col("following")
+
+    by_step = Window.partitionBy(*group).orderBy("step")
     sofar = by_step.rowsBetween(Window.unboundedPreceding, 0)
     before = by_step.rowsBetween(Window.unboundedPreceding, -1)
-    rows = trades.select(
-        *KEY, "step", "dq", "cost", "paid",
-        snap_flat(F.sum("dq").over(sofar)).alias("amount"),
-        snap_flat(F.coalesce(F.sum("dq").over(before), F.lit(0.0))).alias("amount_prev"),
-        F.lead("step").over(by_step).alias("next_step"),
+    rows = rows.select(
+        *KEY, "block", "step", "cost", "paid",
+        snap_flat(held + F.sum("dq").over(sofar)).alias("amount"),
+        snap_flat(held + F.coalesce(F.sum("dq").over(before), F.lit(0.0))).alias("amount_prev"),
+        F.coalesce(F.lead("step").over(by_step), following).alias("next_step"),
         F.when(F.col("paid").isNotNull(), F.col("step")).alias("paid_step"))
     closed = F.when(F.col("amount") == 0.0, 1).otherwise(0)
     rows = rows.withColumn("episode", F.coalesce(F.sum(closed).over(before), F.lit(0)))
-    in_episode = Window.partitionBy(*KEY, "episode").orderBy("step")
+    if block is None:
+        basis0, paid0, paid_step0, opened0 = (
+            F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("long"),
+            F.lit(None).cast("long"))
+    else:
+        rows = rows.join(_open_episodes(rows, group, over_blocks), group, "left")
+        goes_on = F.col("episode") == 0
+        basis0, paid0, paid_step0, opened0 = (
+            F.when(goes_on, F.col(f"{c}0")) for c in ("basis", "paid", "paid_step", "opened"))
+        basis0 = F.coalesce(basis0, F.lit(0.0))
+
+    in_episode = Window.partitionBy(*group, "episode").orderBy("step")
     upto = in_episode.rowsBetween(Window.unboundedPreceding, 0)
     earlier = in_episode.rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.first("step").over(upto)
+    opened = F.coalesce(opened0, F.first("step").over(upto))
 
     def last(name: str, over: WindowSpec) -> Column:
         return F.last(name, ignorenulls=True).over(over)
 
     return rows.select(
         *KEY, "step", "next_step", "cost", "paid", "amount", "amount_prev",
-        F.sum("cost").over(upto).alias("basis"),
-        last("paid", upto).alias("mark"),
-        F.coalesce(last("paid_step", upto), opened).alias("mark_step"),
-        last("paid", earlier).alias("mark_prev"),
-        F.coalesce(last("paid_step", earlier), opened).alias("mark_prev_step"))
+        (basis0 + F.sum("cost").over(upto)).alias("basis"),
+        F.coalesce(last("paid", upto), paid0).alias("mark"),
+        F.coalesce(last("paid_step", upto), paid_step0, opened).alias("mark_step"),
+        F.coalesce(last("paid", earlier), paid0).alias("mark_prev"),
+        F.coalesce(last("paid_step", earlier), paid_step0, opened).alias("mark_prev_step"))
+
+
+def _open_episodes(rows: DataFrame, group: list[str], over_blocks: WindowSpec) -> DataFrame:
+    """Per block: cost basis, last trade price and opening of the episode it begins in."""
+    # The rows after a block's last close; they are its last episode unless that closes too.
+    closes = F.max(F.col("episode") + F.when(F.col("amount") == 0.0, 1).otherwise(0))
+    tails = (
+        rows.groupBy(*group, "episode")
+        .agg(
+            closes.alias("closes"), F.sum("cost").alias("basis"),
+            F.max_by("paid", "paid_step").alias("paid"), F.max("paid_step").alias("paid_step"),
+            F.min("step").alias("opened"))
+        .groupBy(*group)
+        .agg(F.max(F.struct("episode", "closes", "basis", "paid", "paid_step", "opened"))
+             .alias("t"))
+        .select(*group, "t.*"))
+    still_open = F.col("episode") == F.col("closes")
+    tails = tails.select(
+        *group, "closes", *[
+            F.when(still_open, F.col(c)).alias(c) for c in ("basis", "paid", "paid_step", "opened")])
+    # Blocks without a close lengthen the episode begun before them.
+    tails = tails.withColumn("run", F.sum(F.when(F.col("closes") > 0, 1).otherwise(0)).over(
+        over_blocks))
+    in_run = Window.partitionBy(*KEY, "run").orderBy("block")
+    left = tails.select(
+        *group,
+        F.coalesce(F.sum("basis").over(in_run), F.lit(0.0)).alias("basis"),
+        F.last("paid", ignorenulls=True).over(in_run).alias("paid"),
+        F.last("paid_step", ignorenulls=True).over(in_run).alias("paid_step"),
+        F.first("opened", ignorenulls=True).over(in_run).alias("opened"))
+    return left.select(*group, *[
+        F.lag(c).over(over_blocks).alias(f"{c}0")
+        for c in ("basis", "paid", "paid_step", "opened")])
 
 
 def avg_price() -> Column:
@@ -107,7 +170,6 @@ def price_steps(prices: DataFrame, grid: Grid, held: DataFrame | None = None) ->
 
     Only prices at exactly a grid time count. `held` limits the tickers to those traded.
     """
-    by_step = Window.partitionBy("ticker").orderBy("step")
     # A quote at the opening time is already in the opening mark.
     later = grid.steps.where(F.col("step") > 0).select("step", "ts")
     quoted = (
@@ -115,12 +177,9 @@ def price_steps(prices: DataFrame, grid: Grid, held: DataFrame | None = None) ->
         .select("ticker", F.col("date").alias("ts"), "price"))
     if held is not None:
         quoted = quoted.join(held.select("ticker").distinct(), "ticker", "left_semi")
-    quoted = (
-        quoted.join(grid.hinted(later), "ts")
-        .select(
-            "ticker", "step", F.struct("step", "price").alias("quote"),
-            F.lead("step").over(by_step).alias("next_step"),
-            F.lag(F.struct("step", "price")).over(by_step).alias("quote_before")))
+    quoted = quoted.join(grid.hinted(later), "ts").select(
+        "ticker", "step", F.struct("step", "price").alias("quote"))
+    quoted = _quote_neighbours(quoted, grid.block)
     until = F.coalesce(F.col("next_step") - 1, F.lit(grid.last_step))
     return (
         quoted.select(
@@ -132,6 +191,26 @@ def price_steps(prices: DataFrame, grid: Grid, held: DataFrame | None = None) ->
             .otherwise(F.col("quote")).alias("quote_before")))
 
 
+def _quote_neighbours(quoted: DataFrame, block: int | None) -> DataFrame:
+    """Each quote with the step of the next and the quote before it."""
+    if block is None:
+        by_step = Window.partitionBy("ticker").orderBy("step")
+        return quoted.select(
+            "ticker", "step", "quote", F.lead("step").over(by_step).alias("next_step"),
+            F.lag("quote").over(by_step).alias("quote_before"))
+    rows = quoted.withColumn("block", F.floor(F.col("step") / F.lit(block)))
+    over_blocks = Window.partitionBy("ticker").orderBy("block")
+    ends = rows.groupBy("ticker", "block").agg(
+        F.min("step").alias("first"), F.max("quote").alias("final")).select(
+        "ticker", "block", F.lead("first").over(over_blocks).alias("following"),
+        F.lag("final").over(over_blocks).alias("preceding"))
+    by_step = Window.partitionBy("ticker", "block").orderBy("step")
+    return rows.join(ends, ["ticker", "block"]).select(
+        "ticker", "step", "quote",
+        F.coalesce(F.lead("step").over(by_step), "following").alias("next_step"),
+        F.coalesce(F.lag("quote").over(by_step), "preceding").alias("quote_before"))
+
+
 def _mark(quote: str, mark: Column, mark_step: Column) -> Column:
     """The quote if it is as new as the episode's last trade price, else that price."""
     return F.when(F.col(f"{quote}.step") >= mark_step, F.col(f"{quote}.price")).otherwise(mark)
@@ -183,14 +262,15 @@ def roll_positions(
     `trades` is read twice (positions, and the tickers whose prices matter): pass a written table.
     """
     rows = all_trades(trades, opening)
-    dense = open_steps(trade_states(rows), grid.last_step)
+    dense = open_steps(trade_states(rows, grid.block), grid.last_step)
     marked = marked_positions(dense, price_steps(prices, grid, rows))
     return at_time(marked, grid).select(*EQUITY.fieldNames())
 
 
 def roll_amounts(trades: DataFrame, grid: Grid, opening: DataFrame | None = None) -> DataFrame:
     """Amount and average price only, without marks."""
-    dense = open_steps(trade_states(all_trades(trades, opening)), grid.last_step)
+    dense = open_steps(
+        trade_states(all_trades(trades, opening), grid.block), grid.last_step)
     return at_time(dense, grid).select(
         "timestamp", "port", "ticker", "amount", "avgPrice", _step_cost())
 

@@ -87,13 +87,12 @@ def event_coverage(held: DataFrame, events: DataFrame) -> DataFrame:
     listed = events.select("timestamp", F.explode("tickers").alias("ticker")).distinct()
     hits = listed.join(held.select("ticker").distinct(), "ticker", "left_semi").groupBy(
         "timestamp").agg(F.count(F.lit(1)).alias("n_listed"))
-    n_held = held.select("ticker").distinct().agg(F.count(F.lit(1)).alias("n_held"))
+    n_held = held.agg(F.count_distinct("ticker")).scalar()
+    listed_held = F.coalesce("n_listed", F.lit(0))
     return (
         events.select("timestamp").distinct().join(hits, "timestamp", "left")
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(n_held.withColumn("_one", F.lit(1))), "_one")  # one row
-        .select("timestamp", F.coalesce("n_listed", F.lit(0)).alias("n_listed"), "n_held",
-                (F.coalesce("n_listed", F.lit(0)) == F.col("n_held")).alias("complete")))
+        .select("timestamp", listed_held.alias("n_listed"), n_held.alias("n_held"))
+        .withColumn("complete", F.col("n_listed") == F.col("n_held")))
 
 
 def missing_tickers(held: DataFrame, event_tickers: DataFrame) -> DataFrame:
@@ -104,5 +103,4 @@ def missing_tickers(held: DataFrame, event_tickers: DataFrame) -> DataFrame:
 
 def newer_than(events: DataFrame, positions: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Events later than the last position."""
-    last = positions.agg(F.max(ts).alias("_last"))
-    return events.join(F.broadcast(last), F.col("event_ts") > F.col("_last")).drop("_last")
+    return events.where(F.col("event_ts") > positions.agg(F.max(ts)).scalar())

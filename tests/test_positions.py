@@ -163,3 +163,19 @@ def test_steps_by_any_pitch(spark, pitch):
             if stamps[s - 1] < at(h) <= stamps[s]:
                 want[i] = s
     assert got == want
+
+
+@pytest.mark.parametrize("seed,block", [(1, 1), (2, 3), (7, 5)])
+def test_blocks_equal_a_loop(spark, monkeypatch, seed, block):
+    """A long grid is ordered in blocks; the result is the same."""
+    monkeypatch.setattr(grid_ops, "WINDOW_STEPS", 0)
+    monkeypatch.setattr(grid_ops, "BLOCK_STEPS", block)
+    monkeypatch.setattr(grid_ops, "BROADCAST_STEPS", 0)
+    f, a, p = books.random_book(seed)
+    done = run(spark, f, a, p, range(1, 12))
+    books.assert_same(
+        books.collected(done.equity), books.loop([at(h) for h in range(12)], f, a, p))
+    plain = {(r.timestamp, r.port): r.amount for r in done.cash.collect()}
+    monkeypatch.undo()
+    again = run(spark, f, a, p, range(1, 12))
+    assert plain == {(r.timestamp, r.port): r.amount for r in again.cash.collect()}
