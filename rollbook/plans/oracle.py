@@ -223,6 +223,10 @@ def oracle_sql() -> dict[str, str]:
         "csv_mapped_file": _sql(
             "SELECT CAST(date_trunc('second', date) AS TIMESTAMP) AS date, ticker, price FROM ticks",
             "ticks"),
+        "price_files_stacked": _sql("""
+            SELECT CAST(date_trunc('millisecond', date) AT TIME ZONE 'UTC'
+                        AT TIME ZONE 'America/New_York' AS TIMESTAMP) AS date,
+                   kind AS ticker, max(price) AS close FROM ticks GROUP BY ALL""", "ticks"),
         "broker_fills_flat": _sql("SELECT * FROM flat", "flat"),
         "broker_open_trades": """
             SELECT 3::BIGINT AS clientId, o_orderkey AS orderId,
@@ -499,6 +503,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT l_orderkey AS id, l_shipdate AS event_ts FROM lineitem
             WHERE l_shipdate > (SELECT max(o_orderdate) - INTERVAL 90 DAY FROM orders
                                 WHERE o_orderstatus = 'F')""",
+        "events_accepted": _sql("""
+            SELECT CAST(date_trunc('day', date) AS TIMESTAMP) AS event_ts,
+                   count(DISTINCT ticker)::INTEGER AS n_tickers FROM ticks
+            WHERE date_trunc('day', date) > TIMESTAMP '2024-01-10' GROUP BY 1
+            HAVING count(DISTINCT ticker) FILTER (ticker IN (SELECT ticker FROM ticks
+                       WHERE date >= TIMESTAMP '2024-01-10' AND date < TIMESTAMP '2024-01-10 01:00:00'))
+                 = (SELECT count(DISTINCT ticker) FROM ticks
+                    WHERE date >= TIMESTAMP '2024-01-10' AND date < TIMESTAMP '2024-01-10 01:00:00')""",
+            "ticks"),
         "stream_replay_positions": _sql(f"""
             SELECT timestamp, port, ticker, amount, {c('avgPrice')} AS avgPrice, {c('price')} AS price,
                    price_source, {c('mtm')} AS mtm FROM equity""", "equity"),

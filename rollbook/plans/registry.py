@@ -91,6 +91,18 @@ def csv_ingest_ny(spark: SparkSession, d: str) -> DataFrame:
         F.col("price").cast("string").cast("double").alias("close"))
 
 
+def price_files_stacked(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks written as one zoned Parquet file per kind, taken in as price files of a ticker."""
+    path = scratch_path(spark, "price-parquet")
+    fx.ticks(spark, d).select(
+        instant_of_utc(F.col("date")).alias("date"), F.col("price").alias("close"), "kind",
+    ).write.partitionBy("kind").parquet(path)
+    files = [
+        prices.PriceFile(kind, f"{path}/kind={kind}")
+        for kind in ("view", "signup", "click", "error", "purchase")]
+    return prices.read_price_files(spark, files)
+
+
 def csv_mapped_file(spark: SparkSession, d: str) -> DataFrame:
     """Ticks written as CSV to the shared folder and read back under other names."""
     path = scratch_path(spark, "ticks-csv")
@@ -622,6 +634,16 @@ def events_newer(spark: SparkSession, d: str) -> DataFrame:
             (F.col("o_orderdate") - F.expr("INTERVAL 90 DAY")).alias("timestamp")))
 
 
+def events_accepted(spark: SparkSession, d: str) -> DataFrame:
+    """Days after the last position whose ticks name every ticker held then."""
+    ticks = fx.ticks(spark, d)
+    day = F.date_trunc("day", "date").cast("timestamp_ntz")
+    held = ticks.where(F.col("date") < ntz(dt.datetime(2024, 1, 10, 1))).where(
+        F.col("date") >= ntz(dt.datetime(2024, 1, 10))).select(day.alias("timestamp"), "ticker")
+    events = ticks.groupBy(day.alias("event_ts")).agg(F.collect_set("ticker").alias("tickers"))
+    return messages.accepted(events, held).select("event_ts", F.size("tickers").alias("n_tickers"))
+
+
 # -- streams --------------------------------------------------------------------------------------
 
 def _replayed(spark: SparkSession, d: str, files: int, late_first: bool) -> DataFrame:
@@ -674,7 +696,8 @@ def stream_signals_throttled(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed = [
         scan_prices_day, price_last_date, price_union_dedupe, price_upsert_latest, price_conform,
-        csv_ingest_ny, csv_mapped_file, broker_fills_flat, broker_open_trades,
+        csv_ingest_ny, csv_mapped_file, price_files_stacked, broker_fills_flat,
+        broker_open_trades,
         snapshot_join_recode, nav_by_fund, unit_cost, seed_cash, append_rows,
         schema_check,
         fills_signed, processed_fills, processed_fills_interval, alloc_percent_amount,
@@ -692,7 +715,7 @@ def queries() -> dict[str, Query]:
         placed_orders, open_orders, filled_totals, fill_match, order_status_update,
         filled_count_check, fill_record_append, fill_confirmations, fill_events_encoded,
         event_decode, event_admission, event_times, data_event_encode, event_coverage,
-        missing_tickers, events_newer,
+        missing_tickers, events_newer, events_accepted,
         stream_replay_positions, stream_late_recompute, stream_signals_throttled,
     ]
     return {f.__name__: f for f in listed}

@@ -104,3 +104,17 @@ def missing_tickers(held: DataFrame, event_tickers: DataFrame) -> DataFrame:
 def newer_than(events: DataFrame, positions: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Events later than the last position."""
     return events.where(F.col("event_ts") > positions.agg(F.max(ts)).scalar())
+
+
+def accepted(events: DataFrame, positions: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Events (event_ts, tickers) later than the last position that list every held ticker.
+
+    What is held is read from the positions at their last time.
+    """
+    last = positions.agg(F.max(ts)).scalar()
+    held = positions.where(F.col(ts) == last).select("ticker")
+    new = newer_than(events, positions, ts)
+    covered = event_coverage(held, new.select(F.col("event_ts").alias("timestamp"), "tickers"))
+    return new.join(
+        covered.where("complete").select(F.col("timestamp").alias("event_ts")), "event_ts",
+        "left_semi")
