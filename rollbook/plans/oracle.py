@@ -506,12 +506,9 @@ def oracle_sql() -> dict[str, str]:
         "events_accepted": _sql("""
             SELECT CAST(date_trunc('day', date) AS TIMESTAMP) AS event_ts,
                    count(DISTINCT ticker)::INTEGER AS n_tickers FROM ticks
-            WHERE date_trunc('day', date) > TIMESTAMP '2024-01-10' GROUP BY 1
-            HAVING count(DISTINCT ticker) FILTER (ticker IN (SELECT ticker FROM ticks
-                       WHERE date >= TIMESTAMP '2024-01-10' AND date < TIMESTAMP '2024-01-10 01:00:00'))
-                 = (SELECT count(DISTINCT ticker) FROM ticks
-                    WHERE date >= TIMESTAMP '2024-01-10' AND date < TIMESTAMP '2024-01-10 01:00:00')""",
-            "ticks"),
+            WHERE date_trunc('day', date) > (SELECT max(date) FROM ticks WHERE date < TIMESTAMP '2024-01-10')
+            GROUP BY 1 HAVING bool_or(ticker = (
+                SELECT arg_max(ticker, date) FROM ticks WHERE date < TIMESTAMP '2024-01-10'))""", "ticks"),
         "stream_replay_positions": _sql(f"""
             SELECT timestamp, port, ticker, amount, {c('avgPrice')} AS avgPrice, {c('price')} AS price,
                    price_source, {c('mtm')} AS mtm FROM equity""", "equity"),

@@ -638,8 +638,8 @@ def events_accepted(spark: SparkSession, d: str) -> DataFrame:
     """Days after the last position whose ticks name every ticker held then."""
     ticks = fx.ticks(spark, d)
     day = F.date_trunc("day", "date").cast("timestamp_ntz")
-    held = ticks.where(F.col("date") < ntz(dt.datetime(2024, 1, 10, 1))).where(
-        F.col("date") >= ntz(dt.datetime(2024, 1, 10))).select(day.alias("timestamp"), "ticker")
+    held = ticks.where(F.col("date") < ntz(dt.datetime(2024, 1, 10))).select(
+        F.col("date").alias("timestamp"), "ticker")
     events = ticks.groupBy(day.alias("event_ts")).agg(F.collect_set("ticker").alias("tickers"))
     return messages.accepted(events, held).select("event_ts", F.size("tickers").alias("n_tickers"))
 
