@@ -128,3 +128,24 @@ def assign_steps(df: DataFrame, ts: str, grid: Grid) -> DataFrame:
         inside.join(grid.hinted(intervals), "_bucket")
         .where((F.col(ts) > F.col("_from")) & (F.col(ts) <= F.col("_to")))
         .drop("_bucket", "_from", "_to"))
+
+
+def expand_steps(df: DataFrame, lo: Column, hi: Column, out: str, block: int | None,
+                 key: list[str]) -> DataFrame:
+    """One row per step from `lo` to `hi`.
+
+    With `block`, intervals are first cut at block borders and spread by key and block, so that
+    neither an array nor a task spans a long grid.
+    """
+    if block is None:
+        return df.withColumn(out, F.explode(F.sequence(lo, hi)))
+    size = F.lit(block)
+    first = F.col("_part") * size
+    return (
+        df.withColumns({"_lo": lo, "_hi": hi})
+        .withColumn("_part", F.explode(F.sequence(
+            F.floor(F.col("_lo") / size), F.floor(F.col("_hi") / size))))
+        .repartition(*key, "_part")
+        .withColumn(out, F.explode(F.sequence(
+            F.greatest("_lo", first), F.least("_hi", first + size - 1))))
+        .drop("_lo", "_hi", "_part"))

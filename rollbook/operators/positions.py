@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.money import snap_flat, trade_price
 from rollbook.functions.times import ntz
-from rollbook.operators.grid import Grid
+from rollbook.operators.grid import Grid, expand_steps
 from rollbook.schemas import EQUITY
 
 KEY = ["ticker", "port"]
@@ -142,19 +142,20 @@ def avg_price() -> Column:
     return F.coalesce(F.try_divide(F.col("basis"), F.col("amount")), F.lit(0.0))
 
 
-def open_steps(states: DataFrame, last_step: int) -> DataFrame:
+def open_steps(states: DataFrame, grid: Grid) -> DataFrame:
     """One row per step from each trade until the next, or the trade's own step if it closes.
 
     What only a trade changes is in `trade`, NULL at other steps, to keep the many copied rows
     narrow.
     """
     until = F.when(F.col("amount") == 0.0, F.col("step")).otherwise(
-        F.coalesce(F.col("next_step") - 1, F.lit(last_step)))
+        F.coalesce(F.col("next_step") - 1, F.lit(grid.last_step)))
     trade = F.struct("amount_prev", "cost", "paid", "mark_prev", "mark_prev_step")
+    held = states.select(
+        *KEY, "step", "amount", avg_price().alias("avgPrice"), "mark", "mark_step",
+        trade.alias("trade"), until.alias("until"))
     return (
-        states.select(
-            *KEY, "step", "amount", avg_price().alias("avgPrice"), "mark", "mark_step",
-            trade.alias("trade"), F.explode(F.sequence("step", until)).alias("at"))
+        expand_steps(held, F.col("step"), F.col("until"), "at", grid.block, KEY)
         .where(F.col("at") > 0)  # step 0 is the opening time itself
         .select(
             *KEY, F.col("at").alias("step"), "amount", "avgPrice", "mark", "mark_step",
@@ -181,10 +182,9 @@ def price_steps(prices: DataFrame, grid: Grid, held: DataFrame | None = None) ->
         "ticker", "step", F.struct("step", "price").alias("quote"))
     quoted = _quote_neighbours(quoted, grid.block)
     until = F.coalesce(F.col("next_step") - 1, F.lit(grid.last_step))
+    valid = quoted.select("ticker", "step", "quote", "quote_before", until.alias("until"))
     return (
-        quoted.select(
-            "ticker", F.explode(F.sequence("step", until)).alias("at"), "step", "quote",
-            "quote_before")
+        expand_steps(valid, F.col("step"), F.col("until"), "at", grid.block, ["ticker"])
         .select(
             "ticker", F.col("at").alias("step"), "quote",
             F.when(F.col("at") == F.col("step"), F.col("quote_before"))
@@ -262,15 +262,14 @@ def roll_positions(
     `trades` is read twice (positions, and the tickers whose prices matter): pass a written table.
     """
     rows = all_trades(trades, opening)
-    dense = open_steps(trade_states(rows, grid.block), grid.last_step)
+    dense = open_steps(trade_states(rows, grid.block), grid)
     marked = marked_positions(dense, price_steps(prices, grid, rows))
     return at_time(marked, grid).select(*EQUITY.fieldNames())
 
 
 def roll_amounts(trades: DataFrame, grid: Grid, opening: DataFrame | None = None) -> DataFrame:
     """Amount and average price only, without marks."""
-    dense = open_steps(
-        trade_states(all_trades(trades, opening), grid.block), grid.last_step)
+    dense = open_steps(trade_states(all_trades(trades, opening), grid.block), grid)
     return at_time(dense, grid).select(
         "timestamp", "port", "ticker", "amount", "avgPrice", _step_cost())
 
