@@ -101,21 +101,23 @@ def greedy(times, freq, last=None):
     return taken
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 256])
-def test_spacing_in_blocks_equals_a_scan(spark, blocks):
+@pytest.mark.parametrize("blocks,groups,rows", [
+    (1, 2, 0), (2, 3, 0), (3, 1, 0), (2, 256, 10**6), (256, 256, 10**6)])
+def test_spacing_in_blocks_equals_a_scan(spark, blocks, groups, rows):
     rng = np.random.default_rng(blocks)
-    rows, want = [], set()
+    ticks, want = [], set()
     for k in range(6):
         # Seconds with ties, exact spacings, bursts and gaps.
         t = np.unique(rng.integers(0, 4000 * (k + 1), 300))
         t = np.concatenate([t, t[:5] + 30, [10_000 * (k + 1) + 30 * i for i in range(9)]])
-        rows += [(f"k{k}", at(int(x) / 3600), i) for i, x in enumerate(t)]
+        ticks += [(f"k{k}", at(int(x) / 3600), i) for i, x in enumerate(t)]
         want |= {(f"k{k}", x) for x in greedy([int(x) for x in t], 30, 50)}
-    df = books.frame(spark, rows, "ticker string, date timestamp_ntz, i int")
+    df = books.frame(spark, ticks, "ticker string, date timestamp_ntz, i int")
     started = books.frame(
         spark, [(f"k{k}", at(50 / 3600)) for k in range(6)], "ticker string, start_ts timestamp_ntz")
     out = signals.throttled(
-        df, dt.timedelta(seconds=30), started=started, block_spacings=blocks)
+        df, dt.timedelta(seconds=30), started=started, block_spacings=blocks,
+        group_blocks=groups, link_rows=rows)
     got = {(r.ticker, round((r.date - at(0)).total_seconds())) for r in out.collect()}
     assert got == want
 
