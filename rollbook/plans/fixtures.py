@@ -60,10 +60,13 @@ def _trade_qty() -> Column:
     return (F.lit(4) * (1 + F.col("l_quantity") % 3)).cast("double")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
+
+
 def raw_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lineitem row as one fill."""
-    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
-    return rows.select(
+    return _lines(spark, sf_dir).select(
         F.lit("STK").alias("secType"),
         _ticker().alias("secId"),
         F.col("l_orderkey").cast("string").alias("order_itag"),
@@ -115,8 +118,7 @@ def alloc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every lineitem row as a write of its part's price for the month."""
-    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey")
-    return rows.select(
+    return _lines(spark, sf_dir).select(
         _month("l_shipdate").alias("date"), _ticker().alias("ticker"),
         _tick_price().alias("price"), F.col("l_shipdate").alias("timestamp_write"))
 
@@ -161,7 +163,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One order per (order, part) leg; medium-priority orders want one share more than filled."""
-    legs = table(spark, sf_dir, "lineitem").select(
+    legs = _lines(spark, sf_dir).select(
         "l_orderkey", "l_partkey", _trade_qty().alias("q")).groupBy("l_orderkey", "l_partkey").agg(
         F.sum("q").alias("q"))
     orders = table(spark, sf_dir, "orders")
@@ -183,7 +185,7 @@ def order_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broker_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fills as the broker reports them: nested, UTC instants."""
-    return table(spark, sf_dir, "lineitem").select(
+    return _lines(spark, sf_dir).select(
         F.col("l_shipdate").alias("time"),
         F.struct(_ticker().alias("symbol")).alias("contract"),
         F.struct(
