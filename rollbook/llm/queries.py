@@ -5,21 +5,70 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rollbook.llm import classifier
+from rollbook.llm.line_dedup import line_dedup
 from rollbook.llm.near_dup import near_duplicates
+from rollbook.llm.packing import packed
+from rollbook.llm.quality_rules import quality_rules
+from rollbook.llm.secrets import secret_report
+
+ACCEPTED = 0.3
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies; the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated windows of three lines leave of each document."""
+    done = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_spans",
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: base spans and weak ones with a complementary part near by."""
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each document and its verdict by thresholds per language and source."""
+    return quality_rules(_table(spark, sf_dir, "documents")).drop("reasons")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of each document by attention over its passages."""
+    docs = _table(spark, sf_dir, "documents")
+    model = classifier.fit(docs, _table(spark, sf_dir, "labels"))
+    score = F.col("score")
+    return classifier.scored(docs.select("doc_id", "text"), model).select(
+        "doc_id", classifier.held_out().alias("held_out"), "score",
+        F.when(score >= ACCEPTED, 1).otherwise(0).alias("predicted"))
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates: four-word shingles, a similarity of 0.8."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in as few sequences of 4096 tokens as the scheme finds."""
+    return packed(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_minhash_near_dup,)}
+    return {f.__name__: f for f in (
+        op1_line_dedup, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op9_minhash_near_dup,
+        op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
