@@ -27,6 +27,7 @@ null ids are kept. Only the id and the text are read.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +42,9 @@ from rollbook.session import materialize
 
 #: (share of the capacity over which a piece is large, groups): each is planned, the best is used.
 SCHEMES = [(large, groups) for large in (4, 8) for groups in (8, 16, 32, 64, 128, 256)]
-CACHED = 1_500_000
+#: Units a worker remembers, and lines encoded at once.
+CACHED = 600_000
+LINES = 16
 
 _LETTER, _DIGIT, _MARK, _OTHER = 1, 2, 3, 4
 _CLASS = np.full(256, _MARK, np.uint8)
@@ -61,6 +64,7 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has given this task one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -109,20 +113,25 @@ class Encoder:
         plain = np.flatnonzero(~whole)
         lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         alone = list(np.flatnonzero(whole))
-        for line, done in zip(lines, self.tokenizer.encode_batch_fast(
-                [" ".join(units[i] for i in line) for line in lines], add_special_tokens=False)):
-            ids = np.array(done.ids, np.uint32)
-            cut = np.flatnonzero(self.is_last[ids]) + 1
-            if len(cut) == len(line):
-                for i, part in zip(line, np.split(ids, cut[:-1])):
-                    out[i] = part
-            else:
-                alone.extend(line)
-        for i, done in zip(alone, self.tokenizer.encode_batch_fast(
-                [units[i] for i in alone], add_special_tokens=False)):
-            out[i] = np.array(done.ids, np.uint32)
+        for at in range(0, len(lines), LINES):
+            some = lines[at : at + LINES]
+            for line, ids in zip(some, self._ids([" ".join(units[i] for i in line) for line in some])):
+                cut = np.flatnonzero(self.is_last[ids]) + 1
+                if len(cut) == len(line):
+                    for i, part in zip(line, np.split(ids, cut[:-1])):
+                        out[i] = part
+                else:
+                    alone.extend(line)
+        for at in range(0, len(alone), 1000):
+            some = alone[at : at + 1000]
+            for i, ids in zip(some, self._ids([units[i] for i in some])):
+                out[i] = ids
         return out
 
+    def _ids(self, lines: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32)
+                for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+
     def _learn(self, hashes: np.ndarray, found: list[np.ndarray]) -> None:
         if len(self.known) + len(hashes) > CACHED:
             self._clear()

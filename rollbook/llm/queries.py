@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import classifier
+from rollbook.llm import classifier, sentence_pieces
+from rollbook.llm.html_text import extracted
 from rollbook.llm.line_dedup import line_dedup
 from rollbook.llm.near_dup import near_duplicates
 from rollbook.llm.packing import packed
@@ -35,6 +36,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, and whether decoding them gives the text again."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    there = sentence_pieces.decoded(sentence_pieces.encoded(docs, model), model)
+    return there.select(
+        "doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of each document: base spans and weak ones with a complementary part near by."""
     return secret_report(_table(spark, sf_dir, "documents"))
@@ -67,7 +85,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_line_dedup, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op9_minhash_near_dup,
+        op1_line_dedup, op2_html_extraction, op3_sentence_pieces, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op9_minhash_near_dup,
         op10_best_fit_packing)}
 
 
