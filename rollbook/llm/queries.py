@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollbook.llm import classifier, sentence_pieces
+from rollbook.llm.curves import nearest
 from rollbook.llm.html_text import extracted
 from rollbook.llm.line_dedup import line_dedup
 from rollbook.llm.near_dup import near_duplicates
@@ -73,6 +74,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(score >= ACCEPTED, 1).otherwise(0).alias("predicted"))
 
 
+def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one, by inner product."""
+    return nearest(_table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates: four-word shingles, a similarity of 0.8."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
@@ -85,8 +91,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_html_extraction, op3_sentence_pieces, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op9_minhash_near_dup,
-        op10_best_fit_packing)}
+        op1_line_dedup, op2_html_extraction, op3_sentence_pieces, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_hilbert_neighbours,
+        op9_minhash_near_dup,         op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
