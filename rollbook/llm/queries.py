@@ -15,6 +15,7 @@ from rollbook.llm.near_dup import near_duplicates
 from rollbook.llm.packing import packed
 from rollbook.llm.quality_rules import quality_rules
 from rollbook.llm.secrets import secret_report
+from rollbook.llm.suffixes import substring_dedup
 
 ACCEPTED = 0.3
 
@@ -79,6 +80,11 @@ def op7_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without 50-byte strings that earlier documents have."""
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near duplicates: four-word shingles, a similarity of 0.8."""
     return near_duplicates(_table(spark, sf_dir, "documents"), words=4)
@@ -91,8 +97,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_line_dedup, op2_html_extraction, op3_sentence_pieces, op4_secret_scan, op5_quality_rules, op6_quality_classifier, op7_hilbert_neighbours,
-        op9_minhash_near_dup,         op10_best_fit_packing)}
+        op1_line_dedup, op2_html_extraction, op3_sentence_pieces, op4_secret_scan, op5_quality_rules,
+        op6_quality_classifier, op7_hilbert_neighbours, op8_suffix_array_dedup, op9_minhash_near_dup,
+        op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
