@@ -13,7 +13,8 @@ Candidates are confirmed on the full shingle sets. A bucket is not expanded into
    components;
 3. buckets that still hold several components are compared across components: directly while
    they have at most SMALL nodes; the nodes of larger ones by an exact prefix filter, in which a
-   pair must share one of the rarest `n - ceil(similarity * n) + 1` shingles of both.
+   pair must share one of the rarest `n - ceil(similarity * n) + 1` shingles of both, and by the
+   shingles that one node alone has.
 
 Hot keys (a group of copies) appear in joins only, which Spark splits, and in aggregates, which
 combine before the shuffle.
@@ -169,24 +170,30 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of `nodes` (id, component) of different components that share a rare shingle.
+    """Pairs of `nodes` (id, component) of different components that can be similar enough.
 
     Exact: shingles are ordered by how many of the nodes have them; of two sets with the wanted
     similarity, the first n - ceil(similarity * n) + 1 shingles of each must have one in common.
+    Shingles that one node alone has bound the similarity of any pair: they are in the union and not
+    in the intersection. In a group of copies edited each in its own way this rules out most pairs.
     """
     spread = (sets.join(nodes, "id")
               .select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
     often = spread.groupBy("shingle").agg(
         F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
-    order = Window.partitionBy("id").orderBy("often", "shingle")
-    prefix = (spread.join(often, "shingle").withColumn("place", F.row_number().over(order))
+    own = Window.partitionBy("id")
+    prefix = (spread.join(often, "shingle")
+              .withColumn("place", F.row_number().over(own.orderBy("often", "shingle")))
+              .withColumn("alone", F.count(F.when(F.col("often") == 1, 1)).over(own))
               .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-              .where("low < high").select("id", "component", "n", "shingle"))
-    a = prefix.select("shingle", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    b = prefix.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+              .where("low < high").where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
+    a, b = (prefix.select("shingle", F.col("id").alias(x), F.col("component").alias(f"c{x}"),
+                          F.col("n").alias(f"n{x}"), F.col("alone").alias(f"alone_{x}")) for x in "ab")
+    most = F.least(F.col("na") - F.col("alone_a"), F.col("nb") - F.col("alone_b"))
+    possible = 100 * most >= percent * (most + F.col("alone_a") + F.col("alone_b"))
     return (a.join(b, "shingle")
             .where("ca < cb").where(100 * F.col("na") >= percent * F.col("nb"))
-            .where(100 * F.col("nb") >= percent * F.col("na")).select("a", "b").distinct())
+            .where(100 * F.col("nb") >= percent * F.col("na")).where(possible).select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *,
