@@ -50,7 +50,9 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
     A text is never cut: one that is longer is a run by itself.
     """
-    column = column.cast(pa.binary()).cast(pa.large_binary()).fill_null(b"")
+    if pa.types.is_string(column.type):
+        column = column.cast(pa.binary())
+    column = column.cast(pa.large_binary()).fill_null(b"")
     n = len(column)
     if not n:
         return
