@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         nodes.select("set_a", "set_b", F.col("n").alias("n_"), "node"),
         ["set_a", "set_b"], "left").join(
         found.select(F.col("id").alias("node"), "component"), "node", "left")
-    component = F.coalesce("component", "node", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
     return out.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

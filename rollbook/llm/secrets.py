@@ -159,10 +159,11 @@ def redacted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
              scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """`docs` with every reported span replaced by `mark`; overlapping spans give one mark."""
     hits = (secret_spans(docs, id_column, text_column, scope=scope).where(F.size("spans") > 0)
-            .select("row_a", "row_b", "spans").dropDuplicates(["row_a", "row_b"]))
+            .select(F.col("row_a").alias("secret_row_a_"), F.col("row_b").alias("secret_row_b_"),
+                    F.col("spans").alias("secret_spans_")).dropDuplicates(["secret_row_a_", "secret_row_b_"]))
     text = F.coalesce(F.col(text_column), F.lit(""))
-    keyed = docs.withColumn("row_a", F.xxhash64(F.lit("a"), F.col(id_column), text)).withColumn(
-        "row_b", F.xxhash64(F.lit("b"), text, F.col(id_column)))
+    keyed = docs.withColumn("secret_row_a_", F.xxhash64(F.lit("a"), F.col(id_column), text)).withColumn(
+        "secret_row_b_", F.xxhash64(F.lit("b"), text, F.col(id_column)))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -171,7 +172,7 @@ def redacted(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             s["end"].alias("at"), F.array_append(acc["parts"], part).alias("parts"))).otherwise(F.struct(
                 F.greatest(s["end"], acc["at"]).alias("at"), acc["parts"].alias("parts")))
 
-    masked = F.aggregate("spans", start, step, lambda acc: F.concat(
+    masked = F.aggregate("secret_spans_", start, step, lambda acc: F.concat(
         F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    joined = keyed.join(hits, ["row_a", "row_b"], "left")
-    return joined.withColumn(text_column, F.when(F.col("spans").isNull(), F.col(text_column)).otherwise(masked)).select(docs.columns)
+    joined = keyed.join(hits, ["secret_row_a_", "secret_row_b_"], "left")
+    return joined.withColumn(text_column, F.when(F.col("secret_spans_").isNull(), F.col(text_column)).otherwise(masked)).select(docs.columns)
