@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on an independent engine."""
+"""Every registered query with SQL against an independent engine."""
 
 import compare
 import pytest
