@@ -31,7 +31,9 @@ def from_stamp(text: Column) -> Column:
 
 def instant_in_zone(ts: Column, zone: str) -> Column:
     """Wall clock of an instant in `zone`, whatever zone the session shows."""
-    return F.convert_timezone(F.current_timezone(), F.lit(zone), ts.cast("timestamp_ntz"))
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return utc_in_zone(epoch + F.make_dt_interval(secs=seconds), zone)
 
 
 def utc_in_zone(ts_ntz: Column, zone: str) -> Column:

@@ -23,7 +23,6 @@ from rollbook.streaming.signals import throttled_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-PORTS = ["1", "2"]
 DAY = dt.date(2024, 1, 15)
 RESTART = dt.datetime(1998, 6, 15)
 THROTTLE = dt.timedelta(hours=6)
@@ -98,8 +97,8 @@ def price_files_stacked(spark: SparkSession, d: str) -> DataFrame:
         instant_of_utc(F.col("date")).alias("date"), F.col("price").alias("close"), "kind",
     ).write.partitionBy("kind").parquet(path)
     files = [
-        prices.PriceFile(kind, f"{path}/kind={kind}")
-        for kind in ("view", "signup", "click", "error", "purchase")]
+        prices.PriceFile(r.kind, f"{path}/kind={r.kind}")
+        for r in fx.ticks(spark, d).select("kind").distinct().orderBy("kind").collect()]
     return prices.read_price_files(spark, files)
 
 
@@ -318,9 +317,10 @@ def ports_without_cash(spark: SparkSession, d: str) -> DataFrame:
 # -- reports --------------------------------------------------------------------------------------
 
 def pnl_pivot(spark: SparkSession, d: str) -> DataFrame:
-    wide = reports.pnl_by_port(_update(spark, d).equity, PORTS)
+    ports = [r.port for r in fx.opening_cash(spark, d).select("port").distinct().orderBy("port").collect()]
+    wide = reports.pnl_by_port(_update(spark, d).equity, ports)
     return wide.select("ticker", *[
-        _cents(f"{p}_{v}").alias(f"{v}_{p}") for p in PORTS for v in ("pnl", "ret")])
+        _cents(f"{p}_{v}").alias(f"{v}_{p}") for p in ports for v in ("pnl", "ret")])
 
 
 def ret_slice_sum(spark: SparkSession, d: str) -> DataFrame:

@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="rollbook-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")

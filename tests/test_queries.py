@@ -4,6 +4,7 @@ import compare
 import pytest
 
 import __spark_entry__ as driver
+from rollbook.plans import oracle, registry
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -14,7 +15,7 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(driver.oracle_sql()) == set(driver.queries())
+    assert set(oracle.oracle_sql()) == set(registry.queries())
 
 
 def test_entry(spark):
@@ -22,7 +23,7 @@ def test_entry(spark):
     assert df.columns == ["ticker", "pnl_1", "ret_1", "pnl_2", "ret_2"]
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(driver.oracle_sql()))
 def test_query(spark, duck, name):
     df = driver.queries()[name](spark, SF_DIR)
     got = compare.spark_rows(df)
