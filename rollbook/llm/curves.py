@@ -10,7 +10,8 @@
    as centre and radius, and so are groups of queries. A block is visited by a group only if the
    bound on inner products between the two reaches the lowest floor of the group. Where nearness is
    local this leaves few blocks; where vectors are spread evenly the query set meets all rows, in
-   blocks. No task holds more than one block and one group.
+   blocks. No task holds more than one group and one stretch of `span` neighbouring blocks, and it
+   ranks within these before anything is merged.
 
 Scores are sums of products in double precision, in the order of the components, so equal vectors
 have equal scores; ties go to the smaller id. Rows with a null id and vectors that are null, empty,
@@ -185,9 +186,11 @@ def _ball(grouped, key: str, extra: bool) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], id_column: str = "vec_id",
             vector_column: str = "embedding", *, k: int = 20, curves: int = 4, window: int = 64,
-            block: int = 1024, group: int = 16, exact: bool = True) -> DataFrame:
+            block: int = 1024, group: int = 16, span: int = 64, exact: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows with the largest inner product for each query.
 
+    A task of the exact search holds up to `group` blocks' queries and `span` blocks of rows, and
+    returns k rows for each query, so what is merged does not grow with every block visited.
     `is_query` tells the queries by their id. Without `exact`, only the windows' rows are ranked.
     """
     ranked = _ranked(_usable(vectors, id_column, vector_column), curves)
@@ -229,6 +232,8 @@ def nearest(vectors: DataFrame, is_query: Callable[[Column], Column], id_column:
             out.append(_best(q[i + x], r[y], a[i + x], b[y], k))
         return pd.concat(out)
 
-    met = (asked.join(pairs, "asking").groupBy("asking", "block")
-           .cogroup(blocks.join(pairs, "block").groupBy("asking", "block")).applyInPandas(visit, FOUND))
+    stretch = F.floor(F.col("block") / span).alias("stretch")
+    there = blocks.join(pairs, "block").select("asking", stretch, "id", "vec")
+    met = (asked.join(pairs.select("asking", stretch).distinct(), "asking").groupBy("asking", "stretch")
+           .cogroup(there.groupBy("asking", "stretch")).applyInPandas(visit, FOUND))
     return _top(near.select("query_id", "vec_id", "score").union(met), k).select(*columns)
