@@ -129,9 +129,12 @@ def score(model: dict[str, np.ndarray], x: np.ndarray, before: np.ndarray) -> np
     return _forward(model, x.astype(np.float64), before)["score"]
 
 
-def train(x: np.ndarray, before: np.ndarray, labels: np.ndarray, *, epochs: int = 120, rate: float = 0.03,
-          decay: float = 1e-4) -> dict[str, np.ndarray]:
-    """Fit all weights together by Adam on the cross entropy of the documents' labels."""
+def train(x: np.ndarray, before: np.ndarray, labels: np.ndarray, *, steps: int = 160, rate: float = 0.03,
+          decay: float = 1e-4, bags: int = 512) -> dict[str, np.ndarray]:
+    """Fit all weights together by Adam on the cross entropy of the documents' labels.
+
+    Each step takes the next `bags` documents, in an order drawn anew for each round over all.
+    """
     rng = np.random.default_rng(11)
     d = x.shape[1]
     model = {
@@ -141,18 +144,23 @@ def train(x: np.ndarray, before: np.ndarray, labels: np.ndarray, *, epochs: int
     }
     if not len(labels):
         return model
-    x = x.astype(np.float64)
-    text = np.repeat(np.arange(len(labels)), np.diff(before))
     names = ["W", "b", "V", "U", "w", "c", "c0"]
     first = {k: np.zeros_like(model[k]) for k in names}
     second = {k: np.zeros_like(model[k]) for k in names}
-    for step in range(1, epochs + 1):
-        f = _forward(model, x, before)
-        d_out = (f["score"] - labels) / len(labels)
+    left = np.zeros(0, np.int64)
+    for step in range(1, steps + 1):
+        if not len(left):
+            left = rng.permutation(len(labels))
+        taken, left = left[:bags], left[bags:]
+        sizes = before[taken + 1] - before[taken]
+        inner = np.concatenate([[0], np.cumsum(sizes)])
+        text = np.repeat(np.arange(len(taken)), sizes)
+        f = _forward(model, x[np.repeat(before[taken] - inner[:-1], sizes) + np.arange(inner[-1])].astype(np.float64), inner)
+        d_out = (f["score"] - labels[taken]) / len(taken)
         d_z = d_out[:, None] * model["c"]
         e, a, t, s = f["e"], f["a"], f["t"], f["s"]
         d_a = (d_z[text] * e).sum(axis=1)
-        d_l = a * (d_a - np.add.reduceat(a * d_a, before[:-1])[text])
+        d_l = a * (d_a - np.add.reduceat(a * d_a, inner[:-1])[text])
         d_t = d_l[:, None] * model["w"] * s * (1 - t**2)
         d_s = d_l[:, None] * model["w"] * t * s * (1 - s)
         d_e = a[:, None] * d_z[text] + d_t @ model["V"].T + d_s @ model["U"].T
