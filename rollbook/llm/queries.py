@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import classifier, sentence_pieces
+from rollbook.llm import classifier, oracle, sentence_pieces, vector_codes
 from rollbook.llm.curves import nearest
 from rollbook.llm.html_text import extracted
 from rollbook.llm.line_dedup import line_dedup
 from rollbook.llm.near_dup import near_duplicates
+from rollbook.llm.neighbour_graph import linked_vectors
 from rollbook.llm.packing import packed
 from rollbook.llm.quality_rules import quality_rules
+from rollbook.llm.ranked_search import ranked
 from rollbook.llm.secrets import secret_report
 from rollbook.llm.suffixes import substring_dedup
 
@@ -95,12 +97,31 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of each vector within its label at a cosine of 0.93, and their components."""
+    return linked_vectors(_table(spark, sf_dir, "embeddings"))[0]
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    return ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of eight parts for each vector, with errors and a digest of the codebooks."""
+    codes, books = vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+    by_label = codes.groupBy(F.col("label").alias("of_label")).agg(vector_codes.long_sum("error").alias("label_error"))
+    return codes.join(by_label, F.col("label").eqNullSafe(F.col("of_label"))).select(
+        "vec_id", F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "").alias("code"),
+        "error", "label_error", F.lit(vector_codes.books_sha256(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_line_dedup, op2_html_extraction, op3_sentence_pieces, op4_secret_scan, op5_quality_rules,
         op6_quality_classifier, op7_hilbert_neighbours, op8_suffix_array_dedup, op9_minhash_near_dup,
-        op10_best_fit_packing)}
+        op10_best_fit_packing, op11_neighbour_graph, op12_ranked_search, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()
