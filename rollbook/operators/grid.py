@@ -3,50 +3,44 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.functions.times import micros, ntz, seconds
+from rollbook.functions.times import ntz
+from rollbook.operators.asof import last_before
 from rollbook.session import materialize
 
-# A grid of at most this many steps (about 30 bytes each) is broadcast; a longer one is shuffled.
-BROADCAST_STEPS = 500_000
-
 # Up to this many steps, all netted rows of one ticker and portfolio are ordered in one task.
 # On a longer grid they are ordered in blocks of `BLOCK_STEPS` and the blocks are linked.
 WINDOW_STEPS = 1_000_000
 BLOCK_STEPS = 100_000
 
+# Where a monotonically increasing id holds the partition.
+_PART_BITS = 33
+
 
 @dataclass(frozen=True)
 class Grid:
-    """Steps numbered from 0 (the opening time) in time order: step, ts, prev_ts."""
+    """Steps numbered from 0 (the opening time) in time order: step, ts, prev_ts.
+
+    `block` is the number of steps in a block of a window, or None when the grid is short enough
+    for one. `opened` is the time whose stored rows open the run, the start unless nothing is
+    stored before it.
+    """
 
     steps: DataFrame
     start: dt.datetime
     end: dt.datetime
     last_step: int
-
-    @property
-    def small(self) -> bool:
-        return self.last_step <= BROADCAST_STEPS
-
-    @property
-    def block(self) -> int | None:
-        """Steps per block of a window, or None when the grid is short enough for one."""
-        return None if self.last_step <= WINDOW_STEPS else BLOCK_STEPS
-
-    def hinted(self, df: DataFrame) -> DataFrame:
-        """Broadcast a table of the grid's order of size, if the grid is short enough."""
-        return F.broadcast(df) if self.small else df
+    block: int | None = None
+    opened: dt.datetime | None = None
 
 
 def start_before(existing: DataFrame, events: DataFrame, ts: str = "timestamp") -> DataFrame:
     """One row: the latest existing time strictly before the earliest event (NULL if none)."""
-    first = events.agg(F.min("event_ts")).scalar()
+    first = events.agg(F.min("event_ts").alias("first")).scalar()
     return existing.where(F.col(ts) < first).agg(F.max(ts).alias("start_ts"))
 
 
@@ -61,73 +55,49 @@ def times_to_update(
 
 
 def number_steps(times: DataFrame) -> DataFrame:
-    """Number distinct times from 0 and attach the time before each.
+    """Number distinct times from 0 and attach the time before each: step, ts, prev_ts.
 
-    Days are numbered independently; only one summary row per calendar day meets in one task.
+    Times are cut into range partitions, numbered each by itself; only one summary row for each
+    partition meets the others.
     """
-    by_day = times.withColumn("_day", F.to_date("ts"))
-    days = Window.orderBy("_day")
-    summary = (
-        by_day.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"), F.max("ts").alias("_last"))
-        .select(
-            "_day",
-            F.coalesce(
-                F.sum("_n").over(days.rowsBetween(Window.unboundedPreceding, -1)),
-                F.lit(0)).alias("_before"),
-            F.lag("_last").over(days).alias("_prev_last")))
-    within = Window.partitionBy("_day").orderBy("ts")
+    part = F.shiftright("_id", _PART_BITS).alias("_part")
+    ranged = materialize(
+        times.repartitionByRange("ts").sortWithinPartitions("ts")
+        .select("ts", F.monotonically_increasing_id().alias("_id")), "times")
+    parts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last")).orderBy("_part").collect()
+    begun, before, last = [], 0, None
+    for p in parts:
+        begun.append((p["_part"], before, last))
+        before, last = before + p["n"], p["last"]
+    offsets = times.sparkSession.createDataFrame(begun, "_part long, _before long, _last timestamp_ntz")
+    inside = F.col("_id").bitwiseAND((1 << _PART_BITS) - 1)
+    within = Window.partitionBy("_part").orderBy("_id")
     return (
-        by_day.join(summary, "_day")
+        ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
         .select(
-            (F.row_number().over(within) + F.col("_before") - 1).cast("long").alias("step"),
-            "ts",
-            F.coalesce(F.lag("ts").over(within), "_prev_last").alias("prev_ts")))
+            (inside + F.col("_before")).alias("step"), "ts",
+            F.coalesce(F.lag("ts").over(within), "_last").alias("prev_ts")))
 
 
 def build_grid(times: DataFrame) -> Grid:
-    """Write the numbered grid to the shared folder, measuring it on the way."""
-    seen = Observation()
-    numbered = number_steps(times).observe(
-        seen, F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("step").alias("last"))
-    steps = materialize(numbered, "grid")
-    found = seen.get
+    """The numbered grid of the times, written to the shared folder and measured."""
+    steps = materialize(number_steps(times), "grid")
+    found = steps.agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.max("step").alias("last")).first()
     if found["last"] is None:
         raise ValueError("no times to update")
-    return Grid(steps, found["start"], found["end"], found["last"])
-
-
-def _buckets(pitch: dt.timedelta) -> Callable[[Column], Column]:
-    """Time to a bucket number of about `pitch`, by the cheapest unit that is fine enough."""
-    if pitch >= dt.timedelta(days=1):
-        return lambda c: F.floor(F.unix_date(c.cast("date")) / F.lit(pitch.days))
-    if pitch >= dt.timedelta(seconds=1):
-        return lambda c: F.floor(seconds(c) / F.lit(int(pitch.total_seconds())))
-    width = max(1, pitch // dt.timedelta(microseconds=1))
-    return lambda c: F.floor(micros(c) / F.lit(width))
+    block = None if found["last"] <= WINDOW_STEPS else BLOCK_STEPS
+    return Grid(steps, found["start"], found["end"], found["last"], block)
 
 
 def assign_steps(df: DataFrame, ts: str, grid: Grid) -> DataFrame:
     """Add the step whose interval (prev_ts, ts] holds each row's time.
 
-    Rows outside the grid are left out. The range condition becomes an equi-join: time is cut
-    into buckets of the mean step length, so a bucket meets few steps whatever the grid's pitch.
+    That is the one after the last step before the time. Rows outside the grid are left out. Only
+    the distinct times are merged with the steps; the rows then meet one row of their own time.
     """
-    pitch = (grid.end - grid.start) / max(1, grid.last_step)
-    bucket = _buckets(pitch)
-    intervals = (
-        grid.steps.where(F.col("step") > 0)
-        .select(
-            "step",
-            F.col("ts").alias("_to"),
-            F.col("prev_ts").alias("_from"),
-            F.explode(F.sequence(bucket(F.col("prev_ts")), bucket(F.col("ts")))).alias("_bucket")))
-    inside = (
-        df.where((F.col(ts) > ntz(grid.start)) & (F.col(ts) <= ntz(grid.end)))
-        .withColumn("_bucket", bucket(F.col(ts))))
-    return (
-        inside.join(grid.hinted(intervals), "_bucket")
-        .where((F.col(ts) > F.col("_from")) & (F.col(ts) <= F.col("_to")))
-        .drop("_bucket", "_from", "_to"))
+    inside = df.where((F.col(ts) > ntz(grid.start)) & (F.col(ts) <= ntz(grid.end)))
+    following = grid.steps.select(F.col("ts").alias(ts), (F.col("step") + 1).alias("step"))
+    return inside.join(last_before(inside.select(ts).distinct(), following, ts), ts)
 
 
 def expand_steps(df: DataFrame, lo: Column, hi: Column, out: str, block: int | None,

@@ -1,9 +1,9 @@
 """The position roll-forward: amount, average price, mark, P&L and return per grid step.
 
-Only trades and price changes are ordered in windows; both are netted to at most one row per
-(ticker, port, step) and (ticker, step) first. Every other step is a copy of the one before, so
-the dense result comes from expanding intervals and one equi-join on (ticker, step), which
-spreads a hot ticker over its steps.
+Positions change at few steps: those with a trade, and those with a quote of the ticker. Both are
+netted to at most one row per (ticker, port, step) and ordered together in one set of windows. What
+holds from one such step until the next is an interval; sums of P&L are taken over intervals, and
+only a result that lists every step expands them, once, at its end.
 """
 
 from __future__ import annotations
@@ -38,41 +38,81 @@ def all_trades(trades: DataFrame, opening: DataFrame | None) -> DataFrame:
     return rows.unionByName(opening_trades(opening))
 
 
-def trade_states(trades: DataFrame, block: int | None = None) -> DataFrame:
-    """Position after each trade.
+def quoted_steps(prices: DataFrame, grid: Grid) -> DataFrame:
+    """(ticker, step, price) of the prices at exactly a grid time.
+
+    A quote at the opening time is already in the opening mark.
+    """
+    later = grid.steps.where(F.col("step") > 0).select("step", "ts")
+    quoted = prices.where((F.col("date") > ntz(grid.start)) & (F.col("date") <= ntz(grid.end)))
+    return quoted.select("ticker", F.col("date").alias("ts"), "price").join(later, "ts").select(
+        "ticker", "step", "price")
+
+
+def with_quotes(trades: DataFrame, quotes: DataFrame | None) -> DataFrame:
+    """Trades, and the quotes of a position's ticker while it may be open, one row per step.
+
+    Quotes before a position's first trade, or after the trade that closes it for good, are left out.
+    """
+    rows = trades.select(
+        *KEY, "step", "dq", "cost", "paid", F.lit(None).cast("double").alias("quoted"), F.lit(True).alias("traded"))
+    if quotes is None:
+        return rows
+    spans = trades.groupBy(*KEY).agg(
+        F.min("step").alias("_first"), F.max("step").alias("_last"), snap_flat(F.sum("dq")).alias("_left"))
+    marks = quotes.join(spans, "ticker").where(
+        (F.col("step") >= F.col("_first")) & ((F.col("_left") != 0.0) | (F.col("step") <= F.col("_last")))).select(
+        *KEY, "step", F.lit(0.0).alias("dq"), F.lit(0.0).alias("cost"), F.lit(None).cast("double").alias("paid"),
+        F.col("price").alias("quoted"), F.lit(False).alias("traded"))
+    return (
+        rows.unionByName(marks).repartition(*KEY).groupBy(*KEY, "step")
+        .agg(F.sum("dq").alias("dq"), F.sum("cost").alias("cost"), F.max("paid").alias("paid"),
+             F.max("quoted").alias("quoted"), F.max("traded").alias("traded")))
+
+
+def trade_states(rows: DataFrame, block: int | None = None) -> DataFrame:
+    """Position after each row of `with_quotes`.
 
     `mark` is the last trade price of the episode, `mark_step` the step from which a market
-    quote overrides it; `mark_prev` and `mark_prev_step` say the same of the step before. An
-    episode ends with the step at which the amount returns to zero; cost basis and marks do
-    not pass from one episode to the next.
+    quote overrides it, `quote` the last quote; `mark_prev`, `mark_prev_step` and `quote_prev` say
+    the same of the step before. An episode ends with the step at which the amount returns to
+    zero; cost basis and marks do not pass from one episode to the next.
 
     With `block`, no task orders more than one block of steps of a position: what a block takes
     over from those before it comes from one summary row per block.
     """
     blocks = (F.lit(0) if block is None else F.floor(F.col("step") / F.lit(block))).alias("block")
-    rows = trades.select(*KEY, "step", "dq", "cost", "paid", blocks)
+    quote = F.when(F.col("quoted").isNotNull(), F.struct("step", F.col("quoted").alias("price")))
+    rows = rows.select(*KEY, "step", "dq", "cost", "paid", quote.alias("quote_at"), "traded", blocks)
     group = [*KEY, "block"] if block else KEY
     over_blocks = Window.partitionBy(*KEY).orderBy("block")
+    earlier_blocks = over_blocks.rowsBetween(Window.unboundedPreceding, -1)
     if block is None:
-        held, following = F.lit(0.0), F.lit(None).cast("long")
+        held, following, quote0 = F.lit(0.0), F.lit(None).cast("long"), None
     else:
         taken = rows.groupBy(*group).agg(
-            F.sum("dq").alias("dq"), F.min("step").alias("first")).select(
+            F.sum("dq").alias("dq"), F.min("step").alias("first"), F.max("quote_at").alias("quote")).select(
             *group,
-            F.coalesce(F.sum("dq").over(
-                over_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("held"),
-            F.lead("first").over(over_blocks).alias("following"))
+            F.coalesce(F.sum("dq").over(earlier_blocks), F.lit(0.0)).alias("held"),
+            F.lead("first").over(over_blocks).alias("following"),
+            F.max("quote").over(earlier_blocks).alias("quote0"))
         rows = rows.join(taken, group)
-        held, following = F.col("held"), F.col("following")
+        held, following, quote0 = F.col("held"), F.col("following"), F.col("quote0")
 
     by_step = Window.partitionBy(*group).orderBy("step")
     sofar = by_step.rowsBetween(Window.unboundedPreceding, 0)
     before = by_step.rowsBetween(Window.unboundedPreceding, -1)
+
+    def quote_over(frame: WindowSpec) -> Column:
+        own = F.last("quote_at", ignorenulls=True).over(frame)
+        return own if quote0 is None else F.coalesce(own, quote0)
+
     rows = rows.select(
-        *KEY, "block", "step", "cost", "paid",
+        *KEY, "block", "step", "cost", "paid", "traded",
         snap_flat(held + F.sum("dq").over(sofar)).alias("amount"),
         snap_flat(held + F.coalesce(F.sum("dq").over(before), F.lit(0.0))).alias("amount_prev"),
         F.coalesce(F.lead("step").over(by_step), following).alias("next_step"),
+        quote_over(sofar).alias("quote"), quote_over(before).alias("quote_prev"),
         F.when(F.col("paid").isNotNull(), F.col("step")).alias("paid_step"))
     closed = F.when(F.col("amount") == 0.0, 1).otherwise(0)
     rows = rows.withColumn("episode", F.coalesce(F.sum(closed).over(before), F.lit(0)))
@@ -96,7 +136,7 @@ def trade_states(trades: DataFrame, block: int | None = None) -> DataFrame:
         return F.last(name, ignorenulls=True).over(over)
 
     return rows.select(
-        *KEY, "step", "next_step", "cost", "paid", "amount", "amount_prev",
+        *KEY, "step", "next_step", "cost", "paid", "traded", "amount", "amount_prev", "quote", "quote_prev",
         (basis0 + F.sum("cost").over(upto)).alias("basis"),
         F.coalesce(last("paid", upto), paid0).alias("mark"),
         F.coalesce(last("paid_step", upto), paid_step0, opened).alias("mark_step"),
@@ -142,73 +182,10 @@ def avg_price() -> Column:
     return F.coalesce(F.try_divide(F.col("basis"), F.col("amount")), F.lit(0.0))
 
 
-def open_steps(states: DataFrame, grid: Grid) -> DataFrame:
-    """One row per step from each trade until the next, or the trade's own step if it closes.
-
-    What only a trade changes is in `trade`, NULL at other steps, to keep the many copied rows
-    narrow.
-    """
-    until = F.when(F.col("amount") == 0.0, F.col("step")).otherwise(
-        F.coalesce(F.col("next_step") - 1, F.lit(grid.last_step)))
-    trade = F.struct("amount_prev", "cost", "paid", "mark_prev", "mark_prev_step")
-    held = states.select(
-        *KEY, "step", "amount", avg_price().alias("avgPrice"), "mark", "mark_step",
-        trade.alias("trade"), until.alias("until"))
-    return (
-        expand_steps(held, F.col("step"), F.col("until"), "at", grid.block, KEY)
-        .where(F.col("at") > 0)  # step 0 is the opening time itself
-        .select(
-            *KEY, F.col("at").alias("step"), "amount", "avgPrice", "mark", "mark_step",
-            F.when(F.col("at") == F.col("step"), F.col("trade")).alias("trade")))
-
-
-def _step_cost() -> Column:
-    return F.coalesce("trade.cost", F.lit(0.0)).alias("trade_cost_basis")
-
-
-def price_steps(prices: DataFrame, grid: Grid, held: DataFrame | None = None) -> DataFrame:
-    """Per (ticker, step): the last market price up to the step, and up to the step before.
-
-    Only prices at exactly a grid time count. `held` limits the tickers to those traded.
-    """
-    # A quote at the opening time is already in the opening mark.
-    later = grid.steps.where(F.col("step") > 0).select("step", "ts")
-    quoted = (
-        prices.where((F.col("date") > ntz(grid.start)) & (F.col("date") <= ntz(grid.end)))
-        .select("ticker", F.col("date").alias("ts"), "price"))
-    if held is not None:
-        quoted = quoted.join(held.select("ticker").distinct(), "ticker", "left_semi")
-    quoted = quoted.join(grid.hinted(later), "ts").select(
-        "ticker", "step", F.struct("step", "price").alias("quote"))
-    quoted = _quote_neighbours(quoted, grid.block)
-    until = F.coalesce(F.col("next_step") - 1, F.lit(grid.last_step))
-    valid = quoted.select("ticker", "step", "quote", "quote_before", until.alias("until"))
-    return (
-        expand_steps(valid, F.col("step"), F.col("until"), "at", grid.block, ["ticker"])
-        .select(
-            "ticker", F.col("at").alias("step"), "quote",
-            F.when(F.col("at") == F.col("step"), F.col("quote_before"))
-            .otherwise(F.col("quote")).alias("quote_before")))
-
-
-def _quote_neighbours(quoted: DataFrame, block: int | None) -> DataFrame:
-    """Each quote with the step of the next and the quote before it."""
-    if block is None:
-        by_step = Window.partitionBy("ticker").orderBy("step")
-        return quoted.select(
-            "ticker", "step", "quote", F.lead("step").over(by_step).alias("next_step"),
-            F.lag("quote").over(by_step).alias("quote_before"))
-    rows = quoted.withColumn("block", F.floor(F.col("step") / F.lit(block)))
-    over_blocks = Window.partitionBy("ticker").orderBy("block")
-    ends = rows.groupBy("ticker", "block").agg(
-        F.min("step").alias("first"), F.max("quote").alias("final")).select(
-        "ticker", "block", F.lead("first").over(over_blocks).alias("following"),
-        F.lag("final").over(over_blocks).alias("preceding"))
-    by_step = Window.partitionBy("ticker", "block").orderBy("step")
-    return rows.join(ends, ["ticker", "block"]).select(
-        "ticker", "step", "quote",
-        F.coalesce(F.lead("step").over(by_step), "following").alias("next_step"),
-        F.coalesce(F.lag("quote").over(by_step), "preceding").alias("quote_before"))
+def _until(grid: Grid) -> Column:
+    """The last step at which what a row says still holds; a closed position is listed once."""
+    return F.when(F.col("amount") == 0.0, F.col("step")).otherwise(
+        F.coalesce(F.col("next_step") - 1, F.lit(grid.last_step))).alias("until")
 
 
 def _mark(quote: str, mark: Column, mark_step: Column) -> Column:
@@ -220,58 +197,106 @@ def _value(price: Column, amount: Column) -> Column:
     return F.when(amount == 0.0, F.lit(0.0)).otherwise(price * amount)
 
 
-def marked_positions(dense: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Price, mark-to-market, P&L and return of every open step."""
-    def before(name: str, now: str) -> Column:
-        return F.when(
-            F.col("trade").isNull(), F.col(now)).otherwise(F.col(f"trade.{name}"))
+def marked_intervals(states: DataFrame, grid: Grid) -> DataFrame:
+    """Positions by interval `step` .. `until` in which nothing changes.
 
-    amount_prev = before("amount_prev", "amount")
-    mark_prev = _mark("quote_before", before("mark_prev", "mark"),
-                      before("mark_prev_step", "mark_step"))
+    Cost, price source, P&L and return are those of `step`; at the steps after it nothing is paid
+    or gained. An interval from step 0 is the opening position: its own step is not to be listed.
+    """
+    amount, amount_prev, cost = F.col("amount"), F.col("amount_prev"), F.col("cost")
+    mark_prev = _mark("quote_prev", F.col("mark_prev"), F.col("mark_prev_step"))
     source = (
         F.when(F.col("quote.step") == F.col("step"), "vector")
-        .when(F.col("trade.paid").isNotNull(), "trade")
+        .when(F.col("paid").isNotNull(), "trade")
         .otherwise("last_mtm"))
-    cost = F.col("trade_cost_basis")
     return (
-        dense.join(quotes, ["ticker", "step"], "left")
+        states.where(F.col("traded") | (amount_prev != 0.0))
         .select(
-            *KEY, "step", "amount", amount_prev.alias("amount_prev"), "avgPrice", _step_cost(),
+            *KEY, "step", _until(grid), "amount", "amount_prev", avg_price().alias("avgPrice"),
+            cost.alias("trade_cost_basis"),
             _mark("quote", F.col("mark"), F.col("mark_step")).alias("price"),
-            source.alias("price_source"),
-            _value(mark_prev, amount_prev).alias("mtm_prev"))
-        .withColumn("mtm", _value(F.col("price"), F.col("amount")))
-        .withColumn("pnl", F.col("mtm") - cost - F.col("mtm_prev"))
+            source.alias("price_source"), _value(mark_prev, amount_prev).alias("mtm_prev"))
+        .withColumn("mtm", _value(F.col("price"), amount))
+        .withColumn("pnl", F.col("mtm") - F.col("trade_cost_basis") - F.col("mtm_prev"))
         .withColumn("ret", F.when(
-            F.col("amount_prev") == 0.0, F.try_divide(F.col("mtm"), cost) - 1.0).otherwise(
-            F.try_divide(F.col("pnl"), F.col("mtm_prev")))))
+            amount_prev == 0.0, F.try_divide(F.col("mtm"), F.col("trade_cost_basis")) - 1.0).otherwise(
+            F.try_divide(F.col("pnl"), F.col("mtm_prev"))))
+        .drop("amount_prev", "mtm_prev"))
+
+
+def unchanged_pnl() -> Column:
+    """P&L of a step at which nothing changes: zero, or NULL without a price."""
+    return F.col("mtm") - F.col("mtm")
+
+
+def unchanged_ret() -> Column:
+    return F.try_divide(unchanged_pnl(), F.col("mtm"))
+
+
+def every_step(intervals: DataFrame, grid: Grid) -> DataFrame:
+    """One row per step of each interval.
+
+    What differs at the interval's first step is in `change`, NULL at others, to keep the many
+    copied rows narrow.
+    """
+    change = F.struct("trade_cost_basis", "price_source", "pnl", "ret")
+    held = intervals.select(
+        *KEY, "step", "until", "amount", "avgPrice", "price", "mtm", change.alias("change"))
+    rows = expand_steps(held, F.col("step"), F.col("until"), "at", grid.block, KEY).where(
+        F.col("at") > 0)  # step 0 is the opening time itself
+    own = F.col("at") == F.col("step")
+
+    def changed(name: str, otherwise: Column) -> Column:
+        return F.when(own, F.col(f"change.{name}")).otherwise(otherwise).alias(name)
+
+    return rows.select(
+        *KEY, F.col("at").alias("step"), "amount", "avgPrice", changed("trade_cost_basis", F.lit(0.0)),
+        "price", changed("price_source", F.lit("last_mtm")), "mtm", changed("pnl", unchanged_pnl()),
+        changed("ret", unchanged_ret()))
 
 
 def at_time(df: DataFrame, grid: Grid) -> DataFrame:
     """Replace the step number by its timestamp."""
-    stamps = grid.hinted(grid.steps.select("step", F.col("ts").alias("timestamp")))
-    return df.join(stamps, "step").drop("step")
+    return df.join(grid.steps.select("step", F.col("ts").alias("timestamp")), "step").drop("step")
 
 
-def roll_positions(
+def roll_intervals(
     trades: DataFrame, prices: DataFrame, grid: Grid, opening: DataFrame | None = None
 ) -> DataFrame:
-    """Equity positions at every grid step after the opening one.
+    """Equity positions by interval (see `marked_intervals`).
 
-    `trades` is read twice (positions, and the tickers whose prices matter): pass a written table.
+    `trades` is read twice (positions, and the spans in which prices matter): pass a written table.
     """
-    rows = all_trades(trades, opening)
-    dense = open_steps(trade_states(rows, grid.block), grid)
-    marked = marked_positions(dense, price_steps(prices, grid, rows))
-    return at_time(marked, grid).select(*EQUITY.fieldNames())
+    rows = with_quotes(all_trades(trades, opening), quoted_steps(prices, grid))
+    return marked_intervals(trade_states(rows, grid.block), grid)
+
+
+def roll_positions(
+    trades: DataFrame, prices: DataFrame, grid: Grid, opening: DataFrame | None = None
+) -> DataFrame:
+    """Equity positions at every grid step after the opening one."""
+    intervals = roll_intervals(trades, prices, grid, opening)
+    return at_time(every_step(intervals, grid), grid).select(*EQUITY.fieldNames())
 
 
 def roll_amounts(trades: DataFrame, grid: Grid, opening: DataFrame | None = None) -> DataFrame:
     """Amount and average price only, without marks."""
-    dense = open_steps(trade_states(all_trades(trades, opening), grid.block), grid)
-    return at_time(dense, grid).select(
-        "timestamp", "port", "ticker", "amount", "avgPrice", _step_cost())
+    states = trade_states(with_quotes(all_trades(trades, opening), None), grid.block)
+    held = states.select(
+        *KEY, "step", "amount", avg_price().alias("avgPrice"), "cost", _until(grid))
+    dense = expand_steps(held, F.col("step"), F.col("until"), "at", grid.block, KEY).where(
+        F.col("at") > 0).withColumn(
+        "trade_cost_basis", F.when(F.col("at") == F.col("step"), F.col("cost")).otherwise(F.lit(0.0)))
+    return at_time(dense.withColumn("step", F.col("at")), grid).select(
+        "timestamp", "port", "ticker", "amount", "avgPrice", "trade_cost_basis")
+
+
+def held_at(trades: DataFrame, grid: Grid, step: int, opening: DataFrame | None = None) -> DataFrame:
+    """(ticker, port, amount, avgPrice) of the positions open after a step."""
+    states = trade_states(with_quotes(all_trades(trades, opening), None), grid.block)
+    now = (F.col("step") <= step) & (F.col("next_step").isNull() | (F.col("next_step") > step))
+    return states.where(now & (F.col("amount") != 0.0)).select(
+        *KEY, "amount", avg_price().alias("avgPrice"))
 
 
 def carry_full(previous: DataFrame, trades: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.times import ntz
+from rollbook.operators.positions import unchanged_pnl, unchanged_ret
 
 
 def between(df: DataFrame, ts: str, lo: dt.datetime, hi: dt.datetime) -> DataFrame:
@@ -26,12 +27,45 @@ def last_date(df: DataFrame, ts: str) -> DataFrame:
     return df.agg(F.max(ts).alias("last_date"))
 
 
-def pnl_by_port(equity: DataFrame, ports: Sequence[str]) -> DataFrame:
+def interval_returns(intervals: DataFrame, lo: int = 1, hi: int | None = None) -> DataFrame:
+    """(ticker, port, pnl, ret, n): sums over the steps `lo` .. `hi` of positions by interval.
+
+    Nothing is expanded: the steps after an interval's first add nothing, or NULL where it has no
+    price. `n` counts the steps.
+    """
+    until = F.col("until") if hi is None else F.least("until", F.lit(hi))
+    first = F.greatest("step", F.lit(lo))
+    listed = intervals.withColumns({"_first": first, "_until": until}).where(F.col("_first") <= F.col("_until"))
+    own = F.col("step") >= lo
+    still = F.col("_until") > F.when(own, F.col("step")).otherwise(F.lit(lo - 1))
+
+    def total(name: str, unchanged: Column) -> Column:
+        return F.coalesce(F.sum(F.when(own, F.col(name))), F.sum(F.when(still, unchanged))).alias(name)
+
+    return listed.groupBy("ticker", "port").agg(
+        total("pnl", unchanged_pnl()), total("ret", unchanged_ret()),
+        F.sum(F.col("_until") - F.col("_first") + 1).alias("n"))
+
+
+def pnl_by_port(returns: DataFrame, ports: Sequence[str]) -> DataFrame:
     """P&L and summed return, one row per ticker and a pair of columns per portfolio."""
-    return equity.groupBy("ticker").pivot("port", list(ports)).agg(
+    return returns.groupBy("ticker").pivot("port", list(ports)).agg(
         F.sum("pnl").alias("pnl"), F.sum("ret").alias("ret"))
 
 
+def source_counts(intervals: DataFrame) -> DataFrame:
+    """Steps and flat steps by price source, over positions by interval."""
+    moved = F.col("step") > 0
+    after = F.col("until") - F.col("step")
+    flat = F.when(F.col("amount") == 0.0, F.col("n")).otherwise(F.lit(0))
+    parts = F.array(
+        F.struct("price_source", F.when(moved, 1).otherwise(0).cast("long").alias("n")),
+        F.struct(F.lit("last_mtm").alias("price_source"), after.alias("n")))
+    return (
+        intervals.select("amount", F.inline(parts)).groupBy("price_source")
+        .agg(F.sum("n").alias("n"), F.sum(flat).alias("n_flat")).where(F.col("n") > 0))
+
+
 def distinct_times(*columns: tuple[DataFrame, str]) -> DataFrame:
     """Distinct times over one or several tables."""
     frames = [df.select(F.col(c).alias("ts")) for df, c in columns]

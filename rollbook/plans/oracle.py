@@ -96,6 +96,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN amount_prev = 0 THEN mtm / nullif(cost, 0) - 1.0
                     ELSE (mtm - cost - mtm_prev) / nullif(mtm_prev, 0) END AS ret
         FROM rolled WHERE ts IS NOT NULL AND (amount_prev <> 0 OR traded)"""),
+    "cut": (("steps",), "SELECT max(step) // 2 AS half FROM steps"),
     "ticks": ((), """
         SELECT ts AS date, CAST(user_id AS VARCHAR) AS ticker, value AS price, event_type AS kind,
                event_id AS tick_id FROM events"""),
@@ -176,16 +177,20 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def _needed(names: tuple[str, ...], found: list[str]) -> list[str]:
+def _needed(names: tuple[str, ...], found: list[str], known: dict) -> list[str]:
     for name in names:
         if name not in found:
-            _needed(VIEWS[name][0], found)
+            _needed(known[name][0], found, known)
             found.append(name)
     return found
 
 
-def _sql(select: str, *views: str) -> str:
-    parts = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in _needed(views, []))
+def _sql(select: str, *views: str, **other: tuple[tuple[str, ...], str]) -> str:
+    """`select` over the views it names; `other` puts views in the place of those of the name."""
+    known = VIEWS | other
+    texts = {n: known[n][1] for n in _needed(views, [], known)}
+    again = {n for n, text in texts.items() if f" {n} " in " ".join(text.split())}
+    parts = ",\n".join(f"{n} AS {'' if n in again else 'MATERIALIZED '}({text})" for n, text in texts.items())
     return f"WITH RECURSIVE {parts}\n{select}" if parts else select
 
 
@@ -199,6 +204,15 @@ def oracle_sql() -> dict[str, str]:
     late = "(SELECT min(l_shipdate) FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-06-15')"
     start = f"(SELECT max(o_orderdate) FROM orders WHERE o_orderdate < {late})"
     restart = "TIMESTAMP '1998-06-15'"
+
+    def steps_with(more: str, *views: str) -> tuple[tuple[str, ...], str]:
+        return ("evs", "cash0", *views), f"""
+            SELECT row_number() OVER (ORDER BY ts) - 1 AS step, ts, lag(ts) OVER (ORDER BY ts) AS prev_ts
+            FROM (SELECT event_ts AS ts FROM evs UNION SELECT timestamp FROM cash0 UNION {more})"""
+
+    early = steps_with("SELECT TIMESTAMP '1994-10-17 09:30:00'")
+    with_fills = steps_with(
+        "SELECT max(fill_timestamp) FROM raw_fills GROUP BY date_trunc('quarter', fill_timestamp)", "raw_fills")
     return {
         "scan_prices_day": _sql(
             "SELECT date, ticker, price FROM ticks WHERE CAST(date AS DATE) = DATE '2024-01-15'", "ticks"),
@@ -300,9 +314,16 @@ def oracle_sql() -> dict[str, str]:
         "fills_grid_assign": _sql("""
             SELECT order_itag, secId, fill_timestamp, tradeQty, step FROM raw_fills
             JOIN steps ON fill_timestamp > prev_ts AND fill_timestamp <= ts""", "raw_fills", "steps"),
+        "fills_uneven_grid": _sql("""
+            SELECT order_itag, secId, fill_timestamp, tradeQty, step FROM raw_fills
+            JOIN (SELECT row_number() OVER (ORDER BY ts) - 1 AS step, ts, lag(ts) OVER (ORDER BY ts) AS prev_ts
+                  FROM (SELECT event_ts AS ts FROM evs
+                        UNION SELECT fill_timestamp FROM raw_fills WHERE month(fill_timestamp) = 1))
+            ON fill_timestamp > prev_ts AND fill_timestamp <= ts""", "raw_fills", "evs"),
         "net_step_trades": _sql("SELECT * FROM trades", "trades"),
         "positions_rollforward": _sql("SELECT * FROM amounts", "amounts"),
         "positions_priced": _sql("SELECT * FROM equity", "equity"),
+        "positions_in_blocks": _sql("SELECT * FROM equity", "equity"),
         "positions_open_carry": _sql(f"""
             SELECT timestamp, port, ticker, amount, {c('avgPrice')} AS avgPrice, {c('price')} AS price,
                    price_source, {c('mtm')} AS mtm FROM equity""", "equity"),
@@ -316,11 +337,10 @@ def oracle_sql() -> dict[str, str]:
                    {c('coalesce((coalesce(h.basis, 0.0) + coalesce(t.cost, 0.0))'
                       ' / nullif(coalesce(h.amount, 0.0) + coalesce(t.dq, 0.0), 0), 0.0)')} AS avgPrice,
                    coalesce(t.cost, 0.0) AS trade_cost_basis
-            FROM (SELECT ticker, port, sum(dq) AS amount, sum(cost) AS basis FROM trades
-                  WHERE step <= (SELECT max(step) // 2 FROM steps) GROUP BY ALL
-                  HAVING sum(dq) <> 0) h
-            FULL JOIN (SELECT * FROM trades WHERE step = (SELECT max(step) // 2 + 1 FROM steps)) t
-            USING (ticker, port)""", "trades"),
+            FROM (SELECT ticker, port, amount, basis FROM rolled JOIN cut ON i = half
+                  WHERE ts IS NOT NULL AND amount <> 0) h
+            FULL JOIN (SELECT ticker, port, dq, cost FROM trades JOIN cut ON step = half + 1) t
+            USING (ticker, port)""", "rolled", "cut"),
         "cash_rollforward": _sql("""
             SELECT ts AS timestamp, port, ccy,
                    amount - CASE ccy WHEN 'USD' THEN spent ELSE 0 END AS amount,
@@ -515,6 +535,19 @@ def oracle_sql() -> dict[str, str]:
         "stream_late_recompute": _sql(f"""
             SELECT timestamp, port, ticker, amount, {c('avgPrice')} AS avgPrice, {c('price')} AS price,
                    price_source, {c('mtm')} AS mtm FROM equity""", "equity"),
+        "stream_before_opening": _sql("SELECT * FROM equity", "equity", steps=early),
+        "stream_before_opening_cash": _sql("""
+            SELECT ts AS timestamp, port, ccy,
+                   amount - CASE ccy WHEN 'USD' THEN spent ELSE 0 END AS amount,
+                   amount - CASE ccy WHEN 'USD' THEN spent ELSE 0 END AS cost_basis
+            FROM (SELECT s.ts, c.port, c.ccy, c.amount, sum(coalesce(n.cost, 0.0)) OVER (
+                      PARTITION BY c.port, c.ccy ORDER BY s.step) AS spent
+                  FROM steps s CROSS JOIN cash0 c
+                  LEFT JOIN (SELECT port, step, sum(cost) AS cost FROM trades GROUP BY ALL) n
+                  ON n.port = c.port AND n.step = s.step)""", "trades", "cash0", steps=early),
+        "stream_events_positions": _sql(f"""
+            SELECT timestamp, port, ticker, amount, {c('avgPrice')} AS avgPrice, {c('price')} AS price,
+                   price_source, {c('mtm')} AS mtm FROM equity""", "equity", steps=with_fills),
         "stream_signals_throttled": _sql("""
             SELECT tick_id, t.ticker FROM ticks t
             JOIN chain_all c ON c.ticker = t.ticker AND c.last = t.date""", "chain_all"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 from collections.abc import Callable
 
@@ -10,11 +11,11 @@ from pyspark.sql import functions as F
 
 from rollbook import schemas
 from rollbook.functions.ranking import latest_per_key
-from rollbook.functions.times import from_stamp, instant_of_utc, ntz
+from rollbook.functions.times import from_stamp, instant_of_utc, ntz, to_stamp
 from rollbook.operators import cash as cash_ops
 from rollbook.operators import execution, fills, grid, orders, positions, reports, signals
 from rollbook.plans import fixtures as fx
-from rollbook.plans.portfolio import Update, plan_grid, replace_suffix, update
+from rollbook.plans.portfolio import Update, plan_grid, replace_suffix, roll, update
 from rollbook.session import materialize, scratch_path
 from rollbook.sources import broker, messages, prices, relational, tables
 from rollbook.streaming import portfolio as stream_book
@@ -25,6 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DAY = dt.date(2024, 1, 15)
 RESTART = dt.datetime(1998, 6, 15)
+BEFORE_OPENING = dt.datetime(1994, 10, 17, 9, 30)
 THROTTLE = dt.timedelta(hours=6)
 # Sums of doubles that are not exact depend on their order in the last digits.
 DIGITS = 4
@@ -249,6 +251,16 @@ def fills_grid_assign(spark: SparkSession, d: str) -> DataFrame:
     return placed.select("order_itag", "secId", "fill_timestamp", "tradeQty", "step")
 
 
+def fills_uneven_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Fills placed on the days shipped in during January and the first days of the other months."""
+    days = fx.raw_fills(spark, d).select(F.col("fill_timestamp").alias("ts")).where(
+        F.month("ts") == 1).distinct()
+    months = fx.events(spark, d).select(F.col("event_ts").alias("ts"))
+    uneven = grid.build_grid(days.union(months).distinct())
+    placed = grid.assign_steps(fx.raw_fills(spark, d), "fill_timestamp", uneven)
+    return placed.select("order_itag", "secId", "fill_timestamp", "tradeQty", "step")
+
+
 def net_step_trades(spark: SparkSession, d: str) -> DataFrame:
     return _trades(spark, d, _grid(spark, d))
 
@@ -264,6 +276,13 @@ def positions_priced(spark: SparkSession, d: str) -> DataFrame:
     return _update(spark, d).equity
 
 
+def positions_in_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The same with windows cut into blocks of nine steps, as on a very long grid."""
+    g = dataclasses.replace(_grid(spark, d), block=9)
+    done = roll(g, None, fx.opening_cash(spark, d), fx.fills(spark, d), fx.alloc(spark, d), fx.prices(spark, d))
+    return done.equity
+
+
 def positions_open_carry(spark: SparkSession, d: str) -> DataFrame:
     """Restart in mid-history from stored positions; history before it stays."""
     first = _update(spark, d)
@@ -288,12 +307,9 @@ def positions_mirrored(spark: SparkSession, d: str) -> DataFrame:
 def positions_full_join(spark: SparkSession, d: str) -> DataFrame:
     """Positions of the trades up to a step, full-joined with the trades of the next."""
     g = _grid(spark, d)
-    trades = _trades(spark, d, g)
+    trades = materialize(_trades(spark, d, g), "trades")
     cut = g.last_step // 2
-    held = trades.where(F.col("step") <= cut).groupBy("ticker", "port").agg(
-        F.sum("dq").alias("amount"), F.sum("cost").alias("basis"))
-    held = held.withColumn("avgPrice", F.coalesce(
-        F.try_divide("basis", "amount"), F.lit(0.0)))
+    held = positions.held_at(trades, g, cut)
     out = positions.carry_full(held, trades.where(F.col("step") == cut + 1))
     return out.withColumn("avgPrice", _cents("avgPrice"))
 
@@ -317,21 +333,24 @@ def ports_without_cash(spark: SparkSession, d: str) -> DataFrame:
 # -- reports --------------------------------------------------------------------------------------
 
 def pnl_pivot(spark: SparkSession, d: str) -> DataFrame:
-    ports = [r.port for r in fx.opening_cash(spark, d).select("port").distinct().orderBy("port").collect()]
-    wide = reports.pnl_by_port(_update(spark, d).equity, ports)
+    returns = materialize(reports.interval_returns(_update(spark, d).intervals), "returns")
+    ports = [r.port for r in returns.select("port").distinct().orderBy("port").collect()]
+    wide = reports.pnl_by_port(returns, ports)
     return wide.select("ticker", *[
         _cents(f"{p}_{v}").alias(f"{v}_{p}") for p in ports for v in ("pnl", "ret")])
 
 
 def ret_slice_sum(spark: SparkSession, d: str) -> DataFrame:
-    rows = reports.between(
-        _update(spark, d).equity, "timestamp", dt.datetime(1997, 1, 1), dt.datetime(1998, 12, 1))
-    return rows.groupBy("ticker").agg(_sum("ret"), F.count(F.lit(1)).alias("n"))
+    done = _update(spark, d)
+    steps = reports.between(
+        done.grid.steps, "ts", dt.datetime(1997, 1, 1), dt.datetime(1998, 12, 1)).agg(
+        F.min("step").alias("lo"), F.max("step").alias("hi")).first()
+    returns = reports.interval_returns(done.intervals, steps.lo, steps.hi)
+    return returns.groupBy("ticker").agg(_sum("ret"), F.sum("n").alias("n"))
 
 
 def price_source_count(spark: SparkSession, d: str) -> DataFrame:
-    return _update(spark, d).equity.groupBy("price_source").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("amount") == 0.0).alias("n_flat"))
+    return reports.source_counts(_update(spark, d).intervals)
 
 
 def price_fill_group_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -646,33 +665,81 @@ def events_accepted(spark: SparkSession, d: str) -> DataFrame:
 
 # -- streams --------------------------------------------------------------------------------------
 
-def _replayed(spark: SparkSession, d: str, files: int, late_first: bool) -> DataFrame:
-    """Prices and bare events replayed through the streaming portfolio; its equity table."""
+def _book(spark: SparkSession, d: str, root: str) -> stream_book.Book:
+    return stream_book.open_book(
+        spark, f"{root}/book", fx.opening_cash(spark, d),
+        lambda lo, hi: fills.in_interval(fx.fills(spark, d), lo, hi), lambda: fx.alloc(spark, d))
+
+
+def _replayed(spark: SparkSession, d: str, files: int, late_first: bool,
+              more: list[dt.datetime] | None = None) -> stream_book.Book:
+    """Prices and bare events replayed through the streaming portfolio."""
     quotes = fx.prices(spark, d)
-    bare = fx.events(spark, d).select(
+    times = fx.events(spark, d)
+    if more:
+        times = times.union(spark.createDataFrame([(t,) for t in more], "event_ts timestamp_ntz"))
+    bare = times.select(
         F.col("event_ts").alias("date"), F.lit(None).cast("string").alias("ticker"),
         F.lit(None).cast("double").alias("price"),
         F.lit(None).cast("timestamp_ntz").alias("timestamp_write"))
     rows = quotes.unionByName(bare)
     root = scratch_path(spark, "stream")
     replay.write_replay(rows, f"{root}/in", "date", files, late_first)
-    book = stream_book.open_book(
-        spark, f"{root}/book", fx.opening_cash(spark, d),
-        lambda lo, hi: fills.in_interval(fx.fills(spark, d), lo, hi), lambda: fx.alloc(spark, d))
+    book = _book(spark, d, root)
     stream_book.start(
         book, replay.read_replay(spark, f"{root}/in", rows), f"{root}/checkpoint", every=None
     ).awaitTermination()
+    return book
+
+
+def _stored_equity(book: stream_book.Book) -> DataFrame:
     return book.equity.read().select(
         "timestamp", "port", "ticker", "amount", _cents("avgPrice").alias("avgPrice"),
         _cents("price").alias("price"), "price_source", _cents("mtm").alias("mtm"))
 
 
 def stream_replay_positions(spark: SparkSession, d: str) -> DataFrame:
-    return _replayed(spark, d, 3, late_first=False)
+    return _stored_equity(_replayed(spark, d, 3, late_first=False))
 
 
 def stream_late_recompute(spark: SparkSession, d: str) -> DataFrame:
-    return _replayed(spark, d, 2, late_first=True)
+    return _stored_equity(_replayed(spark, d, 2, late_first=True))
+
+
+def stream_before_opening(spark: SparkSession, d: str) -> DataFrame:
+    """The last batch holds an event before all stored rows: everything is rolled again from there."""
+    return _replayed(spark, d, 2, late_first=True, more=[BEFORE_OPENING]).equity.read()
+
+
+def stream_before_opening_cash(spark: SparkSession, d: str) -> DataFrame:
+    return _replayed(spark, d, 2, late_first=True, more=[BEFORE_OPENING]).cash.read()
+
+
+def stream_events_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of two topics as one stream: data events in order, fill events the latest first.
+
+    A fill event names the last fill of each quarter, so fill events arrive years late.
+    """
+    root = scratch_path(spark, "stream")
+    book = _book(spark, d, root)
+    book.prices.append(fx.prices(spark, d), "prices")
+    data = messages.encode(fx.events(spark, d).select(
+        to_stamp(F.col("event_ts")).alias("timestamp"), F.lit("us_equity").alias("table_name"),
+        F.array(F.lit("any")).alias("tickers"), F.lit("new_data").alias("event"),
+    ), "timestamp", "table_name", "tickers", "event").withColumn("topic", F.lit("data_csv.us_equity"))
+    quarter = F.date_trunc("quarter", "fill_timestamp")
+    filled = fx.raw_fills(spark, d).groupBy(quarter.alias("quarter")).agg(F.max("fill_timestamp").alias("t"))
+    confirmed = messages.encode(filled.select(
+        F.date_format("quarter", "yyMMdd").alias("order_itag"), F.lit("s").alias("sessionId"),
+        F.array(to_stamp(F.col("t"))).alias("fill_timestamps"),
+    ), "order_itag", "sessionId", "fill_timestamps").withColumn("topic", F.lit("fills"))
+    streams = []
+    for name, df, late_first in (("data", data, False), ("fills", confirmed, True)):
+        df = df.withColumn("content_type", F.lit(messages.JSON))
+        replay.write_replay(df, f"{root}/{name}", "body", 2, late_first)
+        streams.append(replay.read_replay(spark, f"{root}/{name}", df))
+    stream_book.start_messages(book, *streams, f"{root}/checkpoint", every=None).awaitTermination()
+    return _stored_equity(book)
 
 
 def stream_signals_throttled(spark: SparkSession, d: str) -> DataFrame:
@@ -701,8 +768,9 @@ def queries() -> dict[str, Query]:
         snapshot_join_recode, nav_by_fund, unit_cost, seed_cash, append_rows,
         schema_check,
         fills_signed, processed_fills, processed_fills_interval, alloc_percent_amount,
-        alloc_latest, trade_avg_price, unallocated_fills, fills_grid_assign, net_step_trades,
-        positions_rollforward, positions_priced, positions_open_carry, positions_mirrored,
+        alloc_latest, trade_avg_price, unallocated_fills, fills_grid_assign,
+        fills_uneven_grid, net_step_trades,
+        positions_rollforward, positions_priced, positions_in_blocks, positions_open_carry, positions_mirrored,
         positions_full_join, cash_rollforward, net_cost_by_port, ports_without_cash,
         pnl_pivot, ret_slice_sum, price_source_count, price_fill_group_mean,
         positions_market_join, offgrid_timestamps, timestamp_set_diff, distinct_times,
@@ -716,7 +784,8 @@ def queries() -> dict[str, Query]:
         filled_count_check, fill_record_append, fill_confirmations, fill_events_encoded,
         event_decode, event_admission, event_times, data_event_encode, event_coverage,
         missing_tickers, events_newer, events_accepted,
-        stream_replay_positions, stream_late_recompute, stream_signals_throttled,
+        stream_replay_positions, stream_late_recompute, stream_before_opening,
+        stream_before_opening_cash, stream_events_positions, stream_signals_throttled,
     ]
     return {f.__name__: f for f in listed}
 

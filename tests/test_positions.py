@@ -170,7 +170,6 @@ def test_blocks_equal_a_loop(spark, monkeypatch, seed, block):
     """A long grid is ordered in blocks; the result is the same."""
     monkeypatch.setattr(grid_ops, "WINDOW_STEPS", 0)
     monkeypatch.setattr(grid_ops, "BLOCK_STEPS", block)
-    monkeypatch.setattr(grid_ops, "BROADCAST_STEPS", 0)
     f, a, p = books.random_book(seed)
     done = run(spark, f, a, p, range(1, 12))
     books.assert_same(

@@ -9,7 +9,7 @@ from rollbook import schemas
 from rollbook.schemas import SchemaError, validate_holdings
 from rollbook.sources import broker, prices, relational, tables
 from rollbook.sources.prices import ManifestError, PriceFile
-from rollbook.sources.tables import DatedTable
+from rollbook.sources.tables import BatchTable
 
 
 def test_price_files(spark, tmp_path):
@@ -106,34 +106,48 @@ def contents(table):
     return {(r.date, r.ticker): r.price for r in table.read().collect()}
 
 
-def test_dated_table(spark, tmp_path):
-    table = DatedTable(spark, str(tmp_path / "prices"), schemas.PRICES, "date")
+def test_batch_table(spark, tmp_path):
+    keys, order = ["date", "ticker"], ["timestamp_write"]
+    table = BatchTable(spark, str(tmp_path / "prices"), schemas.PRICES, "date", keys, order)
     assert not table.exists() and table.read().count() == 0
 
     def rows(*r):
         return books.frame(spark, list(r), schemas.PRICES)
 
     table.append(rows(price(1, "A", 1, 0), price(30, "A", 2, 0), price(60, "A", 3, 0)), "b1")
-    before = table._live()["days"]
-    keys, order = ["date", "ticker"], ["timestamp_write"]
-    table.upsert(rows(price(30, "A", 9, 1), price(30, "B", 8, 1), price(31, "A", 7, 1)),
-                 keys, order, "b2")
+    written = sorted(str(f) for f in tmp_path.rglob("*.parquet"))
+    table.append(rows(price(30, "A", 9, 1), price(30, "B", 8, 1), price(31, "A", 7, 1)), "b2")
     assert contents(table) == {
         (at(1), "A"): 1.0, (at(30), "A"): 9.0, (at(30), "B"): 8.0, (at(31), "A"): 7.0,
         (at(60), "A"): 3.0}
-    after = table._live()["days"]
-    assert {d for d in after if after[d] != before.get(d)} == {"2025-01-02"}  # one day rewritten
-    table.upsert(rows(price(1, "A", 99, 9)), keys, order, "b2")  # a repeated batch does nothing
+    table.append(rows(price(1, "A", 99, 9)), "b2")  # a repeated batch does nothing
     assert contents(table)[at(1), "A"] == 1.0
-    table.upsert(rows(price(1, "A", 0, -5)), keys, order, "b3")  # an older write loses
+    table.append(rows(price(1, "A", 0, -5)), "b3")  # an older write loses
     assert contents(table)[at(1), "A"] == 1.0
 
-    assert {r.date for r in table.read_from_before(at(31)).collect()} == {
-        at(1), at(30), at(31), at(60)}
-    assert {r.date for r in table.read_between(at(30.5), at(60)).collect()} == {at(31), at(60)}
+    assert {r.date for r in table.read_from_before(at(31)).collect()} == {at(30), at(31), at(60)}
+    assert {r.date for r in table.read_from_before(at(0.5)).collect()} == {at(1), at(30), at(31), at(60)}
+    assert {r.date for r in table.read(at(30.5), at(60)).collect()} == {at(31), at(60)}
 
     table.replace_suffix(at(30), rows(price(32, "A", 5, 2)), "b4")
     assert contents(table) == {
         (at(1), "A"): 1.0, (at(30), "A"): 9.0, (at(30), "B"): 8.0, (at(32), "A"): 5.0}
-    table.overwrite(table.read().where("ticker = 'B'"), "b5")  # reads what it replaces
-    assert contents(table) == {(at(30), "B"): 8.0}
+    table.replace_suffix(at(1), rows(price(2, "C", 4, 2)), "b5")  # earlier than the one before
+    table.replace_suffix(at(40), rows(price(41, "C", 6, 2)), "b6")
+    assert contents(table) == {(at(1), "A"): 1.0, (at(2), "C"): 4.0, (at(41), "C"): 6.0}
+    assert set(written) <= {str(f) for f in tmp_path.rglob("*.parquet")}  # nothing was rewritten
+    table.compact("b7")
+    assert contents(table) == {(at(1), "A"): 1.0, (at(2), "C"): 4.0, (at(41), "C"): 6.0}
+    assert [r.batch for r in table.live().collect()] == ["b7"]
+    table.overwrite(table.read().where("ticker = 'C'"), "b8")  # reads what it replaces
+    assert contents(table) == {(at(2), "C"): 4.0, (at(41), "C"): 6.0}
+
+
+def test_rows_without_their_log_row_are_not_seen(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "cash"), schemas.CASH, "timestamp")
+    table.overwrite(books.frame(spark, books.cash_rows(["1"]), schemas.CASH), "b1")
+    lost = books.frame(spark, books.cash_rows(["2"], hour=5), schemas.CASH)
+    lost.write.parquet(f"{table.path}/rows/batch=b2")  # failed before its log row
+    assert [r.port for r in table.read().collect()] == ["1"]
+    table.replace_suffix(at(0), books.frame(spark, books.cash_rows(["3"], hour=6), schemas.CASH), "b2")
+    assert sorted(r.port for r in table.read().collect()) == ["1", "3"]

@@ -1,4 +1,3 @@
-import datetime as dt
 import json
 
 import books
@@ -18,9 +17,9 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
         lambda lo, hi: fills, lambda: allocs)
     p = [(at(h), "A", float(10 + h), at(h)) for h in (1, 2)]
     portfolio.handle(book, books.frame(spark, p, schemas.PRICES), 0)
-    first = book.equity._live()
+    first = book.equity.log().collect()
     portfolio.handle(book, books.frame(spark, p, schemas.PRICES), 0)
-    assert book.equity._live() == first
+    assert book.equity.log().collect() == first
     late = [(at(0.75), "A", 10.75, at(3))]
     portfolio.handle(book, books.frame(spark, late, schemas.PRICES), 1)
     books.assert_same(
@@ -32,27 +31,65 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     assert sorted(m["timestamp"] for m in sent) == ["20250101010000", "20250101020000"]
 
 
-def test_message_stream(spark, tmp_path):
-    """Repeated times are taken once; bad messages go to quarantine, foreign topics nowhere."""
-    def body(stamp, table="us_equity"):
-        return json.dumps({"timestamp": stamp, "table_name": table, "tickers": ["A"],
-                           "event": "new_data"})
-
-    topic = "data_csv.us_equity"
-    rows = [
-        (body("20250220100000"), messages.JSON, topic), (body("20250220100000"), messages.JSON, topic),
-        (body("20250220100010"), messages.JSON, topic), ("{", messages.JSON, topic),
-        (body("20250220100020", "bonds"), messages.JSON, topic),
-        (body("20250220100030"), messages.JSON, "other.us_equity")]
-    raw = books.frame(spark, rows, "body string, content_type string, topic string")
-    raw.write.parquet(str(tmp_path / "in"))
-    times, bad = portfolio.message_events(
-        spark.readStream.schema(raw.schema).parquet(str(tmp_path / "in")))
-    for name, df in (("times", times), ("bad", bad)):
-        (df.select(*[c for c in df.columns if c != "msg"]).writeStream.format("parquet")
-         .option("path", str(tmp_path / name))
-         .option("checkpointLocation", str(tmp_path / f"{name}-checkpoint"))
-         .trigger(availableNow=True).start().awaitTermination())
-    got = sorted(r.event_ts for r in spark.read.parquet(str(tmp_path / "times")).collect())
-    assert got == [dt.datetime(2025, 2, 20, 10), dt.datetime(2025, 2, 20, 10, 0, 10)]
-    assert [r.rejected for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["not json"]
+def message(kind, stamp, content=messages.JSON, **other):
+    if kind == "data":
+        body = {"timestamp": stamp, "table_name": "us_equity", "tickers": ["A"], "event": "new_data"} | other
+        return (json.dumps(body), content, "data_csv.us_equity")
+    return (json.dumps({"order_itag": "o", "sessionId": "s", "fill_timestamps": stamp}), content, "fills")
+
+
+MESSAGE = "body string, content_type string, topic string"
+
+
+def test_messages_of_both_streams(spark, tmp_path):
+    """Late and repeated events lose nothing; bad messages go to quarantine, foreign topics nowhere."""
+    f = [fill(0.5, "A", "o", "BUY", 4, 10), fill(2.25, "A", "o2", "SELL", 2, 12)]
+    a = [alloc("o", "1", 1.0), alloc("o2", "1", 1.0)]
+    p = [(at(h), "A", float(10 + h), at(h)) for h in (1, 2, 3)]
+    fills, allocs, prices = books.tables(spark, f, a, p)
+    book = portfolio.open_book(
+        spark, str(tmp_path / "book"), books.frame(spark, books.cash_rows(["1"]), schemas.CASH),
+        lambda lo, hi: fills, lambda: allocs)
+    book.prices.append(prices, "prices")
+
+    def batch(i, data, filled):
+        for name, rows in (("data", data), ("fills", filled)):
+            books.frame(spark, rows, MESSAGE).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        streams = [spark.readStream.schema(MESSAGE).parquet(str(tmp_path / n)) for n in ("data", "fills")]
+        portfolio.start_messages(book, *streams, str(tmp_path / "checkpoint"), every=None).awaitTermination()
+
+    batch(0, [message("data", "20250101030000"), message("data", "20250101030000"), ("{", messages.JSON, "data_csv.us_equity"),
+              message("data", "20250101024000", table_name="bonds"),
+              (message("data", "20250101024500")[0], messages.JSON, "other.us_equity")],
+          [message("fill", ["20250101021500"]), message("fill", [], content="text/plain")])
+    batch(1, [message("data", "20250101010000")], [message("fill", ["20250101003000", "20250101021500"])])  # hours late
+    batch(2, [message("data", "20241231230000")], [])  # before the opening balance
+    hours = [-1, 0, 0.5, 1, 2.25, 3]
+    books.assert_same(books.collected(book.equity.read()), books.loop([at(h) for h in hours], f, a, p))
+    spent = {-1: 0.0, 0: 0.0, 0.5: 40.0, 1: 40.0, 2.25: 16.0, 3: 16.0}
+    assert {(r.timestamp, r.amount) for r in book.cash.read().collect()} == {(at(h), 1000.0 - s) for h, s in spent.items()}
+    bad = spark.read.parquet(f"{book.quarantine}").collect()
+    assert sorted((r.kind, r.rejected) for r in bad) == [("data", "not json"), ("fill", "content type")]
+
+
+def test_timed_batches(spark, tmp_path):
+    """The timed trigger takes what has arrived at each pulse."""
+    f = [fill(0.5, "A", "o", "BUY", 4, 10)]
+    a = [alloc("o", "1", 1.0)]
+    fills, allocs, _ = books.tables(spark, f, a, [])
+    book = portfolio.open_book(
+        spark, str(tmp_path / "book"), books.frame(spark, books.cash_rows(["1"]), schemas.CASH),
+        lambda lo, hi: fills, lambda: allocs)
+    rows = [(at(h), "A", float(10 + h), at(h)) for h in (1, 2)]
+    folder = str(tmp_path / "in")
+    books.frame(spark, rows[:1], schemas.PRICES).coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(schemas.PRICES).parquet(folder)
+    query = portfolio.start(book, stream, str(tmp_path / "checkpoint"), every="1 second")
+    try:
+        query.processAllAvailable()
+        books.frame(spark, rows[1:], schemas.PRICES).coalesce(1).write.mode("append").parquet(folder)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert query.exception() is None
+    books.assert_same(books.collected(book.equity.read()), books.loop([at(h) for h in (0, 1, 2)], f, a, rows))
