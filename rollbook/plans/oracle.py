@@ -231,9 +231,14 @@ def oracle_sql() -> dict[str, str]:
         "price_conform": _sql(
             "SELECT date, ticker, price, TIMESTAMP '2024-02-01' AS timestamp_write FROM ticks", "ticks"),
         "csv_ingest_ny": _sql("""
-            SELECT tick_id, CAST(date_trunc('second', date) AT TIME ZONE 'UTC'
-                                 AT TIME ZONE 'America/New_York' AS TIMESTAMP) AS date,
-                   ticker, price AS close FROM ticks""", "ticks"),
+            SELECT CAST(date_trunc('second', date) AT TIME ZONE 'UTC'
+                        AT TIME ZONE 'America/New_York' AS TIMESTAMP) AS date, kind AS ticker,
+                   max(CASE kind WHEN 'view' THEN price - 1.0 ELSE price END) AS close
+            FROM ticks GROUP BY ALL""", "ticks"),
+        "price_manifest": """
+            SELECT * FROM (VALUES ('view', 'csv', '', NULL), ('sale', 'csv', '', 'ticker'),
+                                  ('click', 'parquet', 'close', 'fields'), ('click', NULL, '', 'format'))
+            v(ticker, kind, missing, fault)""",
         "csv_mapped_file": _sql(
             "SELECT CAST(date_trunc('second', date) AS TIMESTAMP) AS date, ticker, price FROM ticks",
             "ticks"),
@@ -469,6 +474,27 @@ def oracle_sql() -> dict[str, str]:
             SELECT api_internal_tag, api_clientId, secId, sum(tradeQty) AS totalQty FROM flat
             GROUP BY ALL""", "flat"),
         "fill_match": _sql("SELECT * FROM matched", "matched"),
+        "fill_match_session": _sql("""
+            SELECT * FROM matched WHERE sessionId = (
+                SELECT strftime(min(o_orderdate), '%y%m%d') FROM orders WHERE o_orderstatus = 'O')""", "matched"),
+        "confirmation_log": _sql("""
+            SELECT DISTINCT order_itag, 'fill_confirmed' AS status, '' AS note, TIMESTAMP '2025-02-20' AS timestamp
+            FROM matched""", "matched"),
+        "fill_record_rows": _sql(
+            "SELECT * FROM matched UNION ALL SELECT * FROM matched WHERE side = 'BUY'", "matched"),
+        "status_log_rows": _sql("""
+            SELECT order_itag, 'receivedByAutoPort' AS status, '' AS note, o_orderdate AS timestamp
+            FROM numbered
+            UNION ALL SELECT order_itag, CASE secType WHEN 'STK' THEN 'orderNotSent'
+                             ELSE 'deniedByRiskManager' END,
+                      CASE secType WHEN 'STK' THEN 'AutoExec client is closed' ELSE '' END, o_orderdate
+            FROM numbered""", "numbered"),
+        "blotter_of_order": _sql("""
+            SELECT o_orderdate AS timestamp, order_itag, 'C' || o_custkey AS secId, secType,
+                   action AS side, 3.0::DOUBLE AS tradeQty, 'LMT' AS orderType,
+                   CAST(floor(o_totalprice) / 64 AS VARCHAR) AS orderParams,
+                   'dumb_strat' AS placerId FROM numbered
+            WHERE order_itag = (SELECT min(order_itag) FROM numbered)""", "numbered"),
         "order_status_update": _sql("""
             SELECT order_itag,
                    CASE WHEN order_itag IN (SELECT order_itag FROM matched) THEN 'filled'

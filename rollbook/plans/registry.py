@@ -86,10 +86,29 @@ def price_conform(spark: SparkSession, d: str) -> DataFrame:
 
 
 def csv_ingest_ny(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks written as CSV price files of a ticker; a second load, with its columns in another
+    order, corrects all prices of one ticker."""
+    path = scratch_path(spark, "price-csv")
     text = F.concat(F.date_format("date", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
-    return fx.ticks(spark, d).select(
-        "tick_id", prices.csv_wall_clock(text).alias("date"), "ticker",
-        F.col("price").cast("string").cast("double").alias("close"))
+    rows = fx.ticks(spark, d).select(text.alias("date"), F.col("price").alias("close"), F.col("tick_id").alias("average"), "kind")
+    rows.write.partitionBy("kind").option("header", True).csv(f"{path}/first")
+    rows.where("kind = 'view'").select("average", F.col("close") - 1.0, "date", "kind").toDF(
+        "average", "close", "date", "kind").write.partitionBy("kind").option("header", True).csv(f"{path}/second")
+    files = [
+        prices.PriceFile(r.kind, f"{path}/first/kind={r.kind}")
+        for r in fx.ticks(spark, d).select("kind").distinct().orderBy("kind").collect()]
+    return prices.read_price_files(spark, [*files, prices.PriceFile("view", f"{path}/second/kind=view")])
+
+
+def price_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with price files: a path without its ticker, an unknown format, missing fields."""
+    path = scratch_path(spark, "price-csv")
+    rows = fx.ticks(spark, d).select("date", F.col("price").alias("close"), "kind")
+    rows.write.partitionBy("kind").option("header", True).csv(f"{path}/good")
+    rows.drop("close").write.partitionBy("kind").parquet(f"{path}/parquet")
+    return prices.manifest_report(spark, [
+        prices.PriceFile("view", f"{path}/good/kind=view"), prices.PriceFile("sale", f"{path}/good/kind=view"),
+        prices.PriceFile("click", f"{path}/parquet/kind=click"), prices.PriceFile("click", "/data/click.xlsx")])
 
 
 def price_files_stacked(spark: SparkSession, d: str) -> DataFrame:
@@ -355,7 +374,7 @@ def price_source_count(spark: SparkSession, d: str) -> DataFrame:
 
 def price_fill_group_mean(spark: SparkSession, d: str) -> DataFrame:
     g = _grid(spark, d)
-    held = positions.roll_amounts(_trades(spark, d, g), g)
+    held = materialize(positions.roll_amounts(_trades(spark, d, g), g), "held")  # read for the means and the rows
     out = reports.fill_with_group_mean(held, fx.prices(spark, d))
     return out.select("timestamp", "port", "ticker", _cents("price").alias("price"))
 
@@ -530,6 +549,39 @@ def _matched(spark: SparkSession, d: str) -> DataFrame:
         broker.flatten_fills(fx.broker_fills(spark, d)))
 
 
+def fill_match_session(spark: SparkSession, d: str) -> DataFrame:
+    """The match for the orders of one session."""
+    session = fx.table(spark, d, "orders").where(F.col("o_orderstatus") == "O").agg(
+        F.date_format(F.min("o_orderdate"), "yyMMdd")).first()[0]
+    return execution.match_fills(
+        execution.open_orders(fx.order_record(spark, d), session=F.lit(session)),
+        broker.flatten_fills(fx.broker_fills(spark, d)))
+
+
+def confirmation_log(spark: SparkSession, d: str) -> DataFrame:
+    """Log rows of the fill confirmations."""
+    return orders.confirmation_log(
+        execution.confirmations(_matched(spark, d)), ntz(dt.datetime(2025, 2, 20)))
+
+
+def fill_record_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Matched fills appended to a record of the bought ones, row by row."""
+    new = materialize(_matched(spark, d), "matched")
+    return tables.append_rows(new.where(F.col("side") == "BUY"), new)
+
+
+def status_log_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What intake logs while the execution client is closed, row by row."""
+    return orders.status_log(_numbered(spark, d), client_open=False)
+
+
+def blotter_of_order(spark: SparkSession, d: str) -> DataFrame:
+    """Blotter rows of the day's first order, and no rows of an empty table."""
+    blotter = orders.blotter_rows(_numbered(spark, d))
+    one = blotter.where(F.col("order_itag") == blotter.agg(F.min("order_itag")).scalar())
+    return one.unionByName(tables.empty_like(blotter))
+
+
 def placed_orders(spark: SparkSession, d: str) -> DataFrame:
     ok, _ = orders.risk_split(_numbered(spark, d))
     bodies = ok.withColumn("api_internal_tag", F.col("arrival")).withColumn(
@@ -562,12 +614,13 @@ def order_status_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filled_count_check(spark: SparkSession, d: str) -> DataFrame:
-    return execution.filled_counts(fx.order_record(spark, d), _matched(spark, d))
+    matched = materialize(_matched(spark, d), "matched")  # read for the tags and the orders
+    return execution.filled_counts(fx.order_record(spark, d), matched)
 
 
 def fill_record_append(spark: SparkSession, d: str) -> DataFrame:
     """Matched fills appended to a record of the bought ones, counted per security."""
-    new = _matched(spark, d)
+    new = materialize(_matched(spark, d), "matched")
     stored = new.where(F.col("side") == "BUY")
     return tables.append_rows(stored, new).groupBy("secId").agg(
         F.count(F.lit(1)).alias("n"), F.sum("tradeQty").alias("tradeQty"))
@@ -763,7 +816,7 @@ def stream_signals_throttled(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     listed = [
         scan_prices_day, price_last_date, price_union_dedupe, price_upsert_latest, price_conform,
-        csv_ingest_ny, csv_mapped_file, price_files_stacked, broker_fills_flat,
+        csv_ingest_ny, csv_mapped_file, price_files_stacked, price_manifest, broker_fills_flat,
         broker_open_trades,
         snapshot_join_recode, nav_by_fund, unit_cost, seed_cash, append_rows,
         schema_check,
@@ -780,7 +833,8 @@ def queries() -> dict[str, Query]:
         signal_messages, signal_price_lookup,
         last_order_numbers, last_order_number_day, order_numbers, blotter_rows, alloc_explode,
         status_log, status_log_client_closed, risk_split, order_bodies,
-        placed_orders, open_orders, filled_totals, fill_match, order_status_update,
+        placed_orders, open_orders, filled_totals, fill_match, fill_match_session, confirmation_log,
+        fill_record_rows, status_log_rows, blotter_of_order, order_status_update,
         filled_count_check, fill_record_append, fill_confirmations, fill_events_encoded,
         event_decode, event_admission, event_times, data_event_encode, event_coverage,
         missing_tickers, events_newer, events_accepted,

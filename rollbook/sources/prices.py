@@ -59,6 +59,14 @@ def zoned_wall_clock(df: DataFrame, column: str, zone: str = MARKET_ZONE) -> Col
     return millis(F.col(column))
 
 
+#: When a row's file was written: of rows for one time and ticker the latest load counts.
+LOADED = "loaded"
+
+
+def _loaded() -> Column:
+    return F.col("_metadata.file_modification_time").alias(LOADED)
+
+
 def read_parquet_prices(
     spark: SparkSession, paths: Sequence[str], ticker: str, fields: Sequence[str] = ("close",),
     zone: str = MARKET_ZONE,
@@ -67,17 +75,30 @@ def read_parquet_prices(
     check_fields(df, ["date", *fields], str(paths))
     return df.select(
         zoned_wall_clock(df, "date", zone).alias("date"),
-        *[F.col(c).cast("double").alias(c) for c in fields], F.lit(ticker).alias("ticker"))
+        *[F.col(c).cast("double").alias(c) for c in fields], F.lit(ticker).alias("ticker"), _loaded())
+
+
+def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files below the paths by their header; only first lines are read."""
+    found: dict[tuple[str, ...], list[str]] = {}
+    for path in spark.read.text(list(paths)).inputFiles():
+        header = tuple(spark.read.option("header", True).csv(path).columns)
+        found.setdefault(header, []).append(path)
+    return found
 
 
 def read_csv_prices(
     spark: SparkSession, paths: Sequence[str], ticker: str, fields: Sequence[str] = ("close",)
 ) -> DataFrame:
-    df = spark.read.option("header", True).csv(list(paths))
-    check_fields(df, ["date", *fields], str(paths))
-    return df.select(
-        csv_wall_clock(F.col("date")).alias("date"),
-        *[F.col(c).cast("double").alias(c) for c in fields], F.lit(ticker).alias("ticker"))
+    """Columns are taken by name, whatever their order in each file: one scan for each header."""
+    frames = []
+    for files in csv_headers(spark, paths).values():
+        df = spark.read.option("header", True).csv(files)
+        check_fields(df, ["date", *fields], str(files))
+        frames.append(df.select(
+            csv_wall_clock(F.col("date")).alias("date"),
+            *[F.col(c).cast("double").alias(c) for c in fields], F.lit(ticker).alias("ticker"), _loaded()))
+    return _union(frames)
 
 
 def read_mapped_csv(
@@ -93,7 +114,10 @@ def read_mapped_csv(
 def read_price_files(
     spark: SparkSession, files: Sequence[PriceFile], fields: Sequence[str] = ("close",)
 ) -> DataFrame:
-    """All files stacked, one row per (date, ticker). One scan per ticker and format."""
+    """All files stacked, the latest load per (date, ticker); greater values settle ties.
+
+    One scan per ticker and format, and per header of CSV files.
+    """
     check_manifest(files)
     groups: dict[tuple[str, str], list[str]] = {}
     for f in files:
@@ -101,15 +125,35 @@ def read_price_files(
     readers = {"parquet": read_parquet_prices, "csv": read_csv_prices}
     frames = [
         readers[kind](spark, paths, ticker, fields) for (ticker, kind), paths in groups.items()]
-    return stack(frames, [*fields])
+    return stack(frames, [LOADED, *fields]).drop(LOADED)
 
 
-def stack(frames: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
-    """Union by name, keeping the greatest `order` per (date, ticker)."""
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
     stacked = frames[0]
     for frame in frames[1:]:
         stacked = stacked.unionByName(frame)
-    return latest_per_key(stacked, ["date", "ticker"], order)
+    return stacked
+
+
+def manifest_report(spark: SparkSession, files: Sequence[PriceFile], fields: Sequence[str] = ("close",)) -> DataFrame:
+    """One row per file: is the ticker in the path, which format, and which fields are missing."""
+    rows = []
+    for f in files:
+        try:
+            kind, fault = f.kind, None
+            df = spark.read.parquet(f.path) if kind == "parquet" else spark.read.option("header", True).csv(f.path)
+            missing = [c for c in ("date", *fields) if c not in df.columns]
+        except ManifestError:
+            kind, missing, fault = None, [], "format"
+        if f.ticker.lower() not in f.path.lower():
+            fault = "ticker"
+        rows.append((f.ticker, kind, ",".join(missing), fault or ("fields" if missing else None)))
+    return spark.createDataFrame(rows, "ticker string, kind string, missing string, fault string")
+
+
+def stack(frames: Sequence[DataFrame], order: Sequence[str]) -> DataFrame:
+    """Union by name, keeping the greatest `order` per (date, ticker)."""
+    return latest_per_key(_union(frames), ["date", "ticker"], order)
 
 
 def conform_prices(data: DataFrame, write_time: Column, price: str = "close") -> DataFrame:
