@@ -9,19 +9,22 @@ At a similarity of 0.8 a pair shares none with a probability of 2e-6 for the def
 Candidates are confirmed on the full shingle sets. A bucket is not expanded into all its pairs:
 
 1. documents with equal sets are one node;
-2. in each bucket every node is compared with the smallest one (a star), and the links found give
+2. in each bucket every node is compared with the first one (a star), and the links found give
    components;
-3. buckets that still hold several components are compared across components: directly while
-   they have at most SMALL nodes; the nodes of larger ones by an exact prefix filter, in which a
-   pair must share one of the rarest `n - ceil(similarity * n) + 1` shingles of both, and by the
-   shingles that one node alone has.
+3. buckets that still hold several components get more stars, in each of `stars` rounds around another
+   node of the bucket, for the nodes that are not in that node's component yet. In a group of near
+   copies, where most pairs are linked, a few stars leave one component;
+4. in buckets that hold several components even then, signatures are compared across components, in
+   blocks of up to `block` nodes, and only pairs within the signature distance come out, each from the
+   first bucket that it shares. That is the join's guarantee: no pair within the distance is missed.
 
 Hot keys (a group of copies) appear in joins only, which Spark splits, and in aggregates, which
 combine before the shuffle.
 
 Nulls, empty texts and texts without a word have no shingles and are linked with nothing. Rows
 with a null id are returned, linked with nothing, and kept. Repeated rows are returned as often as
-they came, with the same result. Other columns of the input are not looked at.
+they came, with the same result; rows that share an id and have different texts are documents each,
+and the id is the component's if any of them reaches it. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -31,14 +34,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm import texts
+from rollbook.llm.batches import borders, whole_runs
 from rollbook.session import materialize
 
 SYMBOL_BITS = 16
-SMALL = 32
 _BATCH = 4096
 
 
@@ -74,8 +77,9 @@ def _signatures(words: int, k: int):
             n, one, two, marks = [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
-                one.append(int(texts.mix(s).sum().view(np.int64)) if len(s) else None)
-                two.append(int(np.bitwise_xor.reduce(texts.mix(s + np.uint64(1))).view(np.int64)) if len(s) else None)
+                a, b = _set_hashes(s)
+                one.append(a)
+                two.append(b)
                 marks.append(signature(s, k).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()),
@@ -101,18 +105,26 @@ def index_keys(signatures: np.ndarray, chunks: int, rows: int, errors: int) -> n
 def _keyed(chunks: int, rows: int, errors: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
+            nodes = batch.column(0).to_numpy()
             marks = batch.column(1).to_pylist()
-            for i in range(0, len(ids), 2000):
+            for i in range(0, len(nodes), 2000):
                 got = np.frombuffer(b"".join(marks[i : i + 2000]), np.uint16).reshape(-1, chunks * rows)
                 keys = index_keys(got, chunks, rows, errors)
+                places = np.broadcast_to(np.arange(keys.shape[1], dtype=np.int32), keys.shape)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(ids[i : i + 2000], keys.shape[1]))],
-                    ["key", "id"])
+                    [pa.array(keys.view(np.int64).ravel()), pa.array(places.ravel()),
+                     pa.array(np.repeat(nodes[i : i + 2000], keys.shape[1]))], ["key", "place", "node"])
 
     return run
 
 
+def _set_hashes(s: np.ndarray) -> tuple[int | None, int | None]:
+    """128 bits that tell a set from others."""
+    if not len(s):
+        return None, None
+    return int(texts.mix(s).sum().view(np.int64)), int(np.bitwise_xor.reduce(texts.mix(s + np.uint64(1))).view(np.int64))
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,22 +132,68 @@ def _sets(words: int):
             group: list[np.ndarray] = []
             begun = 0
             for i, s in enumerate(shingle_sets(batch.column(1), words), 1):
-                group.append(s.view(np.int64))
+                group.append(s)
                 if i == len(ids) or sum(map(len, group[-50:])) > 1_000_000 or len(group) == 500:
                     offsets = np.concatenate([[0], np.cumsum([len(x) for x in group])]).astype(np.int32)
+                    one, two = zip(*map(_set_hashes, group))
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(begun, len(group)),
-                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(group)))],
-                        ["id", "shingles"])
+                        [ids.slice(begun, len(group)), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
+                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(group).view(np.int64)))],
+                        ["id", "set_a", "set_b", "shingles"])
                     begun, group = i, []
 
     return run
 
 
+def _compared(chunks: int, rows: int, errors: int):
+    """Pairs (a, b) of one bucket, or of two blocks of it, within the signature distance.
+
+    Rows are (key, one, two, part, place, node, component, signature): block `part` of the pair of
+    blocks `one` and `two`. Nodes of one component are not compared, and a pair comes out of the first
+    of the buckets it shares.
+    """
+    limit = chunks * (errors + 1) - 1
+    kept = np.array(list(combinations(range(rows), rows - errors)))
+
+    def first_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        same = (x == y).reshape(len(x), chunks, rows)
+        shared = np.stack([same[:, :, k].all(axis=2) for k in kept], axis=1)
+        return shared.reshape(len(x), len(kept) * chunks).argmax(axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_runs(batches, 3):
+            cut = borders(batch, 3)
+            one, two, part, place = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
+            node, component = batch.column(5).to_numpy(), batch.column(6).to_numpy()
+            marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(len(node), -1)
+            found_a, found_b = [], []
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                left = lo + np.flatnonzero(part[lo:hi] == one[lo])
+                right = lo + np.flatnonzero(part[lo:hi] == two[lo])
+                for i in range(0, len(left), 64):
+                    rows_ = left[i : i + 64]
+                    other = component[rows_][:, None] != component[right][None, :]
+                    if one[lo] == two[lo]:
+                        other &= node[rows_][:, None] < node[right][None, :]
+                    x, y = np.nonzero(other)
+                    for j in range(0, len(x), 1 << 16):
+                        p, q = rows_[x[j : j + (1 << 16)]], right[y[j : j + (1 << 16)]]
+                        near = (marks[p] != marks[q]).sum(axis=1) <= limit
+                        p, q = p[near], q[near]
+                        own = first_place(marks[p], marks[q]) == place[lo]
+                        found_a.append(node[p[own]])
+                        found_b.append(node[q[own]])
+            if found_a:
+                a, b = np.concatenate(found_a), np.concatenate(found_b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b")).cast("long")
     union = F.size("of_a") + F.size("of_b") - common
     return (pairs.join(left, "a").join(right, "b")
@@ -169,36 +227,40 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of `nodes` (id, component) of different components that can be similar enough.
+def _open(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, place, node, component) of the buckets that hold several components."""
+    named = (buckets.join(found.withColumnRenamed("id", "node"), "node", "left")
+             .select("key", "place", "node", F.coalesce("component", "node").alias("component")))
+    mixed = (named.groupBy("key").agg(
+        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low < high").select("key", "size"))
+    return materialize(named.join(mixed, "key"), "near-open")
+
+
+def _star(open_: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's node of this turn and those of other components."""
+    pivots = open_.groupBy("key").agg(
+        F.min(F.struct(F.xxhash64("node", F.lit(turn)), F.col("node").alias("b"), F.col("component").alias("of_b"))).alias("p"))
+    return (open_.join(pivots.select("key", "p.b", "p.of_b"), "key").where("component <> of_b")
+            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
 
-    Exact: shingles are ordered by how many of the nodes have them; of two sets with the wanted
-    similarity, the first n - ceil(similarity * n) + 1 shingles of each must have one in common.
-    Shingles that one node alone has bound the similarity of any pair: they are in the union and not
-    in the intersection. In a group of copies edited each in its own way this rules out most pairs.
-    """
-    spread = (sets.join(nodes, "id")
-              .select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
-    often = spread.groupBy("shingle").agg(
-        F.count("*").alias("often"), F.min("component").alias("low"), F.max("component").alias("high"))
-    own = Window.partitionBy("id")
-    prefix = (spread.join(often, "shingle")
-              .withColumn("place", F.row_number().over(own.orderBy("often", "shingle")))
-              .withColumn("alone", F.count(F.when(F.col("often") == 1, 1)).over(own))
-              .where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-              .where("low < high").where(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n")))
-    a, b = (prefix.select("shingle", F.col("id").alias(x), F.col("component").alias(f"c{x}"),
-                          F.col("n").alias(f"n{x}"), F.col("alone").alias(f"alone_{x}")) for x in "ab")
-    most = F.least(F.col("na") - F.col("alone_a"), F.col("nb") - F.col("alone_b"))
-    possible = 100 * most >= percent * (most + F.col("alone_a") + F.col("alone_b"))
-    return (a.join(b, "shingle")
-            .where("ca < cb").where(100 * F.col("na") >= percent * F.col("nb"))
-            .where(100 * F.col("nb") >= percent * F.col("na")).where(possible).select("a", "b").distinct())
+
+def _near_pairs(open_: DataFrame, marks: DataFrame, chunks: int, rows: int, errors: int, block: int) -> DataFrame:
+    """Pairs across components within the signature distance; a large bucket is met block by block."""
+    parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
+    own = open_.join(marks, "node").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return (
+        met.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"),
+                   "part", "place", "node", "component", "signature")
+        .repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+        .mapInArrow(_compared(chunks, rows, errors), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *,
                     words: int = 5, percent: int = 80, chunks: int = 10, rows: int = 5,
-                    errors: int = 1) -> DataFrame:
+                    errors: int = 1, stars: int = 2, block: int = 2048) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of `docs`.
 
     Documents are linked if 100 * intersection >= percent * union holds for their sets of shingles
@@ -210,43 +272,39 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         _signatures(words, chunks * rows),
         "id long, n long, set_a long, set_b long, signature binary"), "near-signatures")
     full = signed.where("n > 0 and id is not null")
-    nodes = full.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("node"))
-    nodes = materialize(nodes, "near-nodes")
-    firsts = full.join(nodes, (F.col("id") == F.col("node")) & (full.set_a == nodes.set_a)
-                       & (full.set_b == nodes.set_b), "left_semi")
-    keys = firsts.select("id", "signature").mapInArrow(_keyed(chunks, rows, errors), "key long, id long")
-    shared = (keys.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
+    same = ["set_a", "set_b", "n"]
+    nodes = materialize(
+        full.groupBy(*same).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "near-nodes")
+    marks = materialize(
+        full.join(nodes.withColumnRenamed("first", "id"), [*same, "id"]).select("node", "signature").dropDuplicates(["node"]),
+        "near-marks")
+    keys = marks.mapInArrow(_keyed(chunks, rows, errors), "key long, place int, node long")
+    shared = (keys.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
               .where("pivot < last").select("key", "pivot"))
     buckets = materialize(keys.join(shared, "key"), "near-buckets")
-    members = buckets.select("id").distinct()
+    members = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select(
+        "node", "set_a", "set_b", F.col("first").alias("id"))
     sets = materialize(
-        source.join(members, "id", "left_semi").dropDuplicates(["id"])
-        .mapInArrow(_sets(words), "id long, shingles array<long>"), "near-sets")
+        source.join(members, "id", "left_semi")
+        .mapInArrow(_sets(words), "id long, set_a long, set_b long, shingles array<long>")
+        .join(members, ["id", "set_a", "set_b"]).select("node", "shingles").dropDuplicates(["node"]), "near-sets")
 
-    stars = buckets.where("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = materialize(confirmed(stars, sets, percent), "near-confirmed")
+    first = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    links = materialize(confirmed(first, sets, percent), "near-confirmed")
     found = components(links)
-
-    named = (buckets.join(found, "id", "left")
-             .select("key", "id", F.coalesce("component", "id").alias("component")))
-    mixed = (named.groupBy("key").agg(
-        F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high").select("key", "size"))
-    open_ = materialize(named.join(mixed, "key"), "near-open")
-    few = open_.where(F.col("size") <= SMALL)
-    a = few.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    b = few.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    direct = a.join(b, "key").where("ca < cb").select("a", "b")
-    many = open_.where(F.col("size") > SMALL).select("id", "component").distinct()
-    rest = direct.union(_rare_pairs(many, sets, percent)).distinct()
-    more = confirmed(rest.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti"), sets, percent)
+    open_ = _open(buckets, found)
+    for turn in range(stars):
+        links = links.union(materialize(confirmed(_star(open_, turn), sets, percent), "near-confirmed"))
+        found = components(links)
+        open_ = _open(open_.select("key", "place", "node"), found)
+    more = confirmed(_near_pairs(open_, marks, chunks, rows, errors, block), sets, percent)
     found = components(links.union(more))
 
-    out = signed.join(
-        nodes.select("set_a", "set_b", F.col("n").alias("n_"), "node"),
-        ["set_a", "set_b"], "left").join(
-        found.select(F.col("id").alias("node"), "component"), "node", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node", "id"))
+    named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select(
+        *same, "first", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("first").alias("lowest"))
+    out = signed.join(named.join(lowest, "component").select("set_a", "set_b", "lowest"), ["set_a", "set_b"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("lowest", "id"))
     return out.select(
         F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

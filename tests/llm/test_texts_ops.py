@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import random
 import re
 import sys
 import zlib
@@ -94,12 +95,37 @@ def test_near_duplicates(spark, given):
             assert r.kept == (r.doc_id == r.component_id)
 
 
-def test_near_duplicates_of_large_buckets(spark, monkeypatch):
-    import rollbook.llm.near_dup as module
+def family(seed=11, members=60):
+    """Documents that share most words: some pairs are linked, others just miss the similarity."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randint(0, 999)}" for _ in range(300)]
+    out = []
+    for i in range(members):
+        words = list(base)
+        for p in rng.sample(range(300), rng.choice([2, 6, 9, 12])):
+            words[p] = f"x{rng.randint(0, 9999)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+@pytest.mark.parametrize(("stars", "block"), [(0, 2048), (0, 7), (2, 7)])
+def test_near_duplicates_of_large_buckets(spark, stars, block):
+    """The same with any number of stars, and with buckets met block by block."""
+    docs = family()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = near_duplicates(df, words=4, stars=stars, block=block).collect()
+    want = near_by_loop(docs, 4)
+    assert len({c for _, c in want.values()}) > 3
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
 
-    monkeypatch.setattr(module, "SMALL", 1)
-    got = near_duplicates(spark.read.parquet(f"{SF}/documents.parquet"), words=4).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_by_loop(documents(spark), 4)
+def test_near_duplicates_of_one_id(spark):
+    """Rows of one id with different texts are documents each."""
+    docs = family(5, 4)
+    rows = [(1, "alone in this row " * 9), (1, docs[0][1]), (2, docs[0][1]), (3, "alone in this row " * 9), (4, "something else")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [
+        (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
 
 
 @pytest.mark.parametrize("hot", [4096, 1])
