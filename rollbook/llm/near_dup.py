@@ -15,8 +15,10 @@ Candidates are confirmed on the full shingle sets. A bucket is not expanded into
    node of the bucket, for the nodes that are not in that node's component yet. In a group of near
    copies, where most pairs are linked, a few stars leave one component;
 4. in buckets that hold several components even then, signatures are compared across components, in
-   blocks of up to `block` nodes, and only pairs within the signature distance come out, each from the
-   first bucket that it shares. That is the join's guarantee: no pair within the distance is missed.
+   blocks of up to `block` nodes: pairs within the signature distance, each in the first bucket that it
+   shares. That is the join's guarantee: no pair within the distance is missed. Of these, a pair comes
+   out only if its shingles can be common enough: counts of shingles by SKETCH hash cells, the smaller
+   of both added up, bound the intersection from above.
 
 Hot keys (a group of copies) appear in joins only, which Spark splits, and in aggregates, which
 combine before the shuffle.
@@ -42,6 +44,7 @@ from rollbook.llm.batches import borders, whole_runs
 from rollbook.session import materialize
 
 SYMBOL_BITS = 16
+SKETCH = 1024  # cells, a byte each; 255 stands for any number from there on
 _BATCH = 4096
 
 
@@ -125,6 +128,11 @@ def _set_hashes(s: np.ndarray) -> tuple[int | None, int | None]:
     return int(texts.mix(s).sum().view(np.int64)), int(np.bitwise_xor.reduce(texts.mix(s + np.uint64(1))).view(np.int64))
 
 
+def _sketch(s: np.ndarray) -> bytes:
+    cells = np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,19 +146,20 @@ def _sets(words: int):
                     one, two = zip(*map(_set_hashes, group))
                     yield pa.RecordBatch.from_arrays(
                         [ids.slice(begun, len(group)), pa.array(one, pa.int64()), pa.array(two, pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(group).view(np.int64)))],
-                        ["id", "set_a", "set_b", "shingles"])
+                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(group).view(np.int64))),
+                         pa.array([_sketch(s) for s in group], pa.binary())],
+                        ["id", "set_a", "set_b", "shingles", "sketch"])
                     begun, group = i, []
 
     return run
 
 
-def _compared(chunks: int, rows: int, errors: int):
+def _compared(chunks: int, rows: int, errors: int, percent: int):
     """Pairs (a, b) of one bucket, or of two blocks of it, within the signature distance.
 
-    Rows are (key, one, two, part, place, node, component, signature): block `part` of the pair of
-    blocks `one` and `two`. Nodes of one component are not compared, and a pair comes out of the first
-    of the buckets it shares.
+    Rows are (key, one, two, part, place, node, component, signature, n, sketch): block `part` of the
+    pair of blocks `one` and `two`. Nodes of one component are not compared, and a pair comes out of
+    the first of the buckets it shares, if its sketches allow the similarity.
     """
     limit = chunks * (errors + 1) - 1
     kept = np.array(list(combinations(range(rows), rows - errors)))
@@ -160,12 +169,20 @@ def _compared(chunks: int, rows: int, errors: int):
         shared = np.stack([same[:, :, k].all(axis=2) for k in kept], axis=1)
         return shared.reshape(len(x), len(kept) * chunks).argmax(axis=1)
 
+    def possible(n_x: np.ndarray, n_y: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        least = np.minimum(x, y)
+        most = least.sum(axis=1, dtype=np.int64)
+        most = np.where((least == 255).any(axis=1), np.minimum(n_x, n_y), most)
+        return 100 * most >= percent * (n_x + n_y - most)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_runs(batches, 3):
             cut = borders(batch, 3)
             one, two, part, place = (batch.column(i).to_numpy() for i in (1, 2, 3, 4))
             node, component = batch.column(5).to_numpy(), batch.column(6).to_numpy()
             marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(len(node), -1)
+            n = batch.column(8).to_numpy().astype(np.int64)
+            cells = np.frombuffer(b"".join(batch.column(9).to_pylist()), np.uint8).reshape(len(node), SKETCH)
             found_a, found_b = [], []
             for lo, hi in zip(cut[:-1], cut[1:]):
                 left = lo + np.flatnonzero(part[lo:hi] == one[lo])
@@ -181,8 +198,12 @@ def _compared(chunks: int, rows: int, errors: int):
                         near = (marks[p] != marks[q]).sum(axis=1) <= limit
                         p, q = p[near], q[near]
                         own = first_place(marks[p], marks[q]) == place[lo]
-                        found_a.append(node[p[own]])
-                        found_b.append(node[q[own]])
+                        p, q = p[own], q[own]
+                        for k in range(0, len(p), 4096):
+                            u, v = p[k : k + 4096], q[k : k + 4096]
+                            kept_ = possible(n[u], n[v], cells[u], cells[v])
+                            found_a.append(node[u[kept_]])
+                            found_b.append(node[v[kept_]])
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -245,7 +266,8 @@ def _star(open_: DataFrame, turn: int) -> DataFrame:
             .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
 
 
-def _near_pairs(open_: DataFrame, marks: DataFrame, chunks: int, rows: int, errors: int, block: int) -> DataFrame:
+def _near_pairs(open_: DataFrame, marks: DataFrame, chunks: int, rows: int, errors: int, percent: int,
+                block: int) -> DataFrame:
     """Pairs across components within the signature distance; a large bucket is met block by block."""
     parts = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = open_.join(marks, "node").withColumn("parts", parts).withColumn(
@@ -253,9 +275,9 @@ def _near_pairs(open_: DataFrame, marks: DataFrame, chunks: int, rows: int, erro
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return (
         met.select("key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"),
-                   "part", "place", "node", "component", "signature")
+                   "part", "place", "node", "component", "signature", "n", "sketch")
         .repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
-        .mapInArrow(_compared(chunks, rows, errors), "a long, b long"))
+        .mapInArrow(_compared(chunks, rows, errors, percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *,
@@ -286,8 +308,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "node", "set_a", "set_b", F.col("first").alias("id"))
     sets = materialize(
         source.join(members, "id", "left_semi")
-        .mapInArrow(_sets(words), "id long, set_a long, set_b long, shingles array<long>")
-        .join(members, ["id", "set_a", "set_b"]).select("node", "shingles").dropDuplicates(["node"]), "near-sets")
+        .mapInArrow(_sets(words), "id long, set_a long, set_b long, shingles array<long>, sketch binary")
+        .join(members, ["id", "set_a", "set_b"]).select("node", "shingles", F.size("shingles").alias("n"), "sketch")
+        .dropDuplicates(["node"]), "near-sets")
 
     first = buckets.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(confirmed(first, sets, percent), "near-confirmed")
@@ -297,7 +320,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         links = links.union(materialize(confirmed(_star(open_, turn), sets, percent), "near-confirmed"))
         found = components(links)
         open_ = _open(open_.select("key", "place", "node"), found)
-    more = confirmed(_near_pairs(open_, marks, chunks, rows, errors, block), sets, percent)
+    marked = marks.join(sets.select("node", "n", "sketch"), "node")
+    more = confirmed(_near_pairs(open_, marked, chunks, rows, errors, percent, block), sets, percent)
     found = components(links.union(more))
 
     named = nodes.join(found.withColumnRenamed("id", "node"), "node", "left").select(
