@@ -6,12 +6,14 @@ sigmoid, softmax over the document's passages), and the weighted sum is scored.
 labels are used.
 
 The model is fitted on the driver from at most `sample` labelled documents (those with the smallest
-hash of their id; 4096 by default), of which only the passage measures are collected. Scoring runs
-in Arrow batches over whole texts, without a shuffle.
+hash of their id; 4096 by default), of which only the passage measures are collected: one row of each
+id, and for fitting at most `bag` passages of it, longer texts by the means of neighbouring passages.
+So what reaches the driver has a bound in bytes. Scoring runs in Arrow batches over all passages of
+whole texts, without a shuffle.
 
 Null and empty texts are one passage without words and get a score. Without labels the score is
 0.5; with labels of one kind it tends to that. Null labels and ids do not take part in fitting;
-conflicting labels of one id count as the larger. All columns of the input are kept; one of the
+conflicting labels of one id count as the larger, of rows that share an id one is learnt from. All columns of the input are kept; one of the
 name of the score is replaced.
 """
 
@@ -28,6 +30,7 @@ from rollbook.llm import texts
 
 PASSAGE = 64
 SAMPLE = 4096
+BAG = 512
 HIDDEN = 24
 
 #: Measures of a passage, in order.
@@ -105,6 +108,14 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, before
 
 
+def pooled(x: np.ndarray, most: int) -> np.ndarray:
+    """At most `most` rows that stand for all of `x`: means of runs of neighbours, alike in length."""
+    if len(x) <= most:
+        return x
+    begin = np.arange(most) * len(x) // most
+    return (np.add.reduceat(x, begin, axis=0) / np.diff([*begin, len(x)])[:, None]).astype(x.dtype)
+
+
 def _softmax(x: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Within each text; `before` counts the passages before each."""
     per_text = np.diff(before)
@@ -181,8 +192,8 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", *,
-        label_column: str = "quality", sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """A model from at most `sample` labelled documents that are not held out."""
+        label_column: str = "quality", sample: int = SAMPLE, bag: int = BAG) -> dict[str, np.ndarray]:
+    """A model from at most `sample` labelled documents that are not held out, `bag` passages of each."""
     chosen = (labels.where(F.col(id_column).isNotNull() & F.col(label_column).isNotNull() & ~held_out(id_column))
               .groupBy(id_column).agg(F.max(label_column).cast("int").alias("label_"))
               .orderBy(F.xxhash64(id_column), id_column).limit(sample))
@@ -193,15 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
                 x, before = passages(data, offsets)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
-                     pa.array([x[a:b].tobytes() for a, b in zip(before[:-1], before[1:])], pa.binary())],
+                     pa.array([pooled(x[a:b], bag).tobytes() for a, b in zip(before[:-1], before[1:])], pa.binary())],
                     ["id", "label", "x"])
 
     # At most `sample` ids are broadcast.
     rows = (docs.select(F.col(id_column), F.col(text_column).alias("text_"))
             .join(F.broadcast(chosen), id_column)
             .select(F.col(id_column).cast("long").alias("id"), F.col("label_").alias("label"), "text_")
-            .mapInArrow(measures, "id long, label int, x binary").collect())
-    rows = sorted(rows, key=lambda r: (r.id, r.label, bytes(r.x)))[:sample]
+            .mapInArrow(measures, "id long, label int, x binary")
+            .groupBy("id", "label").agg(F.min("x").alias("x")).collect())
+    rows = sorted(rows, key=lambda r: r.id)
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, len(FEATURES)) for r in rows]
     before = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     x = np.concatenate(bags) if bags else np.zeros((0, len(FEATURES)), np.float32)
