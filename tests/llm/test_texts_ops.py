@@ -210,6 +210,54 @@ def test_weak_secrets_need_a_partner(spark):
     assert masked[17] == "user=alice went to https://example.com" and masked[8] is None
 
 
+def brute_links(text: str, scope: int = 200) -> list[str]:
+    """All spans by comparing every weak span with every other."""
+    from rollbook.llm import secrets
+
+    def found(kind, pattern, passes=lambda m: True):
+        return [(m.start(), secrets.KINDS.index(kind), m.end()) for m in re.finditer(pattern, text) if passes(m)]
+
+    base = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(text) if ok(m))
+    mixed = lambda m: all(re.search(c, m[0]) for c in ("[0-9]", "[A-Z]", "[a-z]"))
+    weak = found("user", secrets.USER) + found("opaque", secrets.OPAQUE, mixed) + found("endpoint", secrets.ENDPOINT)
+    weak = [w for w in weak if not any(w[0] < b[2] and b[0] < w[2] for b in base)]
+    secret = [secrets.KINDS.index(k) for k in secrets.SECRET_KINDS]
+    linked = [w for w in weak if any(
+        (w[1] in secret) != (o[1] in secret) and o[0] < w[2] + scope and o[2] > w[0] - scope for o in base + weak)]
+    return [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + linked)]
+
+
+def credentials(seed: int, n: int) -> str:
+    rng = random.Random(seed)
+    some = ["password=abcDEF%09dxyz", "user=bob%d", "https://h%d.example.com/x", "AKIA%016d", "%032x", "wörd %d",
+            "Ab%020dZ", "token: %d", "aaBB11%030d", "login = %d user: amy secret=\"%d9999999"]
+    return " ".join((x % ((rng.randrange(10**8),) * x.count("%"))) + " filler" * rng.randrange(60) for x in rng.choices(some, k=n))
+
+
+def test_secret_links_by_brute_force(spark):
+    """Every span and mask of texts with more matches than one stretch holds."""
+    texts = {i: credentials(i, n) for i, n in enumerate((3, 40, 200, 1500))}
+    df = spark.createDataFrame([*texts.items(), (9, None), (9, "")], "doc_id long, text string")
+    for r in secret_report(df).where("doc_id < 9").collect():
+        assert r.spans == ",".join(brute_links(texts[r.doc_id]))
+    masked = {r.doc_id: r.text for r in redacted(df).where("doc_id < 9").collect()}
+    for i, text in texts.items():
+        out, at = [], 0
+        for _, a, b in (s.split(":") for s in brute_links(text)):
+            if int(a) >= at:
+                out += [text[at : int(a)], "[SECRET]"]
+            at = max(at, int(b))
+        assert masked[i] == "".join([*out, text[at:]])
+
+
+def test_secrets_of_one_long_text(spark):
+    """A text of a megabyte made of matches is scanned and masked in time about in proportion."""
+    runs = [f"{i:028x}" for i in range(32000)]
+    df = spark.createDataFrame([(1, " ".join(runs))], "doc_id long, text string")
+    assert secret_report(df).first().n_hex == 32000
+    assert redacted(df).first().text == " ".join(["[SECRET]"] * 32000)
+
+
 def test_quality_counts(spark):
     for df in (spark.read.parquet(f"{SF}/documents.parquet"), cases.table(spark)):
         text_of = {r.doc_id: r.text or "" for r in df.collect() if r.doc_id is not None}
@@ -254,6 +302,19 @@ def test_classifier_edges(spark):
     assert len(got) == len(cases.rows()) and all(0 <= r.score <= 1 for r in got)
 
 
+def test_classifier_sample_is_bounded(spark):
+    """Very long texts and repeated ids reach the driver as a bounded bag each."""
+    pooled = classifier.pooled
+    x = np.arange(1300, dtype=np.float32).reshape(-1, 1)
+    assert len(pooled(x, 512)) == 512 and abs(pooled(x, 512).mean() - x.mean()) < 1 and pooled(x, 1300) is x
+    docs = spark.createDataFrame([(i % 20, f"word{i} " * (40000 if i == 3 else 80)) for i in range(60)],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = classifier.fit(docs, labels, sample=10, bag=4)
+    assert all(np.isfinite(v).all() for v in model.values())
+    assert not classifier.fit(docs.where("false"), labels)["c"].any()
+
+
 def test_encoder_equals_tokenizer():
     encoder = Encoder(queries.tokenizer_path("word_bpe_49k.json"))
     own = [r[1] or "" for r in cases.rows()]
@@ -326,6 +387,35 @@ def test_html():
     assert html_text.main_text("") == "" and html_text.main_text("<p") == ""
 
 
+def test_html_loses_no_article_text(spark):
+    long = " ".join(["word"] * 30)
+    links = "<ul><li><a href=x>See also</a></li><li><a>More</a></li></ul>"
+    whole = {
+        "before a footer of links": f"<article><h1>T</h1><p>{long} 1</p>{links}<p>{long} 2</p></article><footer><a>Home</a></footer>",
+        "no article marked": f"<div>{links}<h1>T of it all</h1><p>{long} 1</p><p>{long} 2</p>{links}</div>",
+        "open drawing": f"<article><p>{long} 1</p><svg><path d='x'/><p>{long} 2</p></article>",
+        "closed at once": f"<article><p>{long} 1</p><svg/><p>{long} 2</p></article>",
+        "open button": f"<article><p>{long} 1</p><button>Go<p>{long} 2</p><button>Close</button></article>",
+        "open player": f"<article><p>{long} 1</p><video><p>{long} 2</p></article>",
+        "closed player": f"<article><p>{long} 1</p><video><p>no video</p></video><p>{long} 2</p></article>",
+        "head without its end": f"<html><head><title>t</title><body><article><p>{long} 1</p><p>{long} 2</p></article>",
+        "link without its end": f"<article><p>{long} 1</p><p><a href=x>see</p><p>{long} 2</p></article>",
+    }
+    for name, page in whole.items():
+        lines = html_text.main_text(page).split("\n")
+        assert f"{long} 1" in lines and f"{long} 2" in lines, name
+        assert not {"See also", "More", "Home", "Go", "Close", "no video", "t"} & set(lines), name
+    df = spark.createDataFrame([(1, None, "old"), (2, whole["open button"], "old"), (2, whole["open button"], "old")],
+                               "page_id long, html string, text string")
+    got = [r.text for r in html_text.extracted(df).orderBy("page_id").collect()]
+    assert got == ["", f"{long} 1\n{long} 2", f"{long} 1\n{long} 2"]
+    assert html_text.extracted(df.where("false")).collect() == []
+
+
+def test_links_across_blocks():
+    assert [b[2] for b in html_text.blocks("<a href=x><div>Read this</div></a><div>Not <a>that</a></div>")] == [1.0, 0.5]
+
+
 def test_html_given_pages(spark):
     got = {r.page_id: r.text for r in queries.op2_html_extraction(spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
