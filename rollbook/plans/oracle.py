@@ -512,6 +512,8 @@ def oracle_sql() -> dict[str, str]:
                 SELECT * FROM matched UNION ALL SELECT * FROM matched WHERE side = 'BUY')
             GROUP BY secId""", "matched"),
         "fill_confirmations": _sql("SELECT * FROM conf", "conf"),
+        "stream_fill_match": _sql("SELECT * FROM matched", "matched"),
+        "stream_fill_confirmations": _sql("SELECT * FROM conf", "conf"),
         "fill_events_encoded": _sql("""
             SELECT '{"order_itag":"' || order_itag || '","sessionId":"' || sessionId
                    || '","fill_timestamps":["' || replace(fill_timestamps, ',', '","') || '"]}' AS body

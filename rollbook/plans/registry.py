@@ -18,6 +18,7 @@ from rollbook.plans import fixtures as fx
 from rollbook.plans.portfolio import Update, plan_grid, replace_suffix, roll, update
 from rollbook.session import materialize, scratch_path
 from rollbook.sources import broker, messages, prices, relational, tables
+from rollbook.streaming import executions
 from rollbook.streaming import portfolio as stream_book
 from rollbook.streaming import replay
 from rollbook.streaming.signals import throttled_stream
@@ -813,6 +814,32 @@ def stream_signals_throttled(spark: SparkSession, d: str) -> DataFrame:
     return passed.select(F.col("id").alias("tick_id"), "ticker")
 
 
+def _executions(spark: SparkSession, d: str) -> executions.Desk:
+    """Orders and fills as two streams, the fills of the last months first."""
+    root = scratch_path(spark, "stream")
+    streams = []
+    tables_ = (("orders", fx.order_record(spark, d), "placed_timestamp", False),
+               ("fills", broker.flatten_fills(fx.broker_fills(spark, d)), "fill_timestamp", True))
+    for name, df, ts, late_first in tables_:
+        replay.write_replay(df, f"{root}/{name}", ts, 2, late_first)
+        streams.append(replay.read_replay(spark, f"{root}/{name}", df))
+    desk = executions.Desk(f"{root}/desk")
+    executions.start_matching(desk, *streams, f"{root}/checkpoint", every=None).awaitTermination()
+    return desk
+
+
+def stream_fill_match(spark: SparkSession, d: str) -> DataFrame:
+    """What the stream released as fill-record rows."""
+    return _executions(spark, d).events(spark)
+
+
+def stream_fill_confirmations(spark: SparkSession, d: str) -> DataFrame:
+    """The confirmations that the stream sent."""
+    sent = _executions(spark, d).sent(spark).select(
+        F.from_json("value", "order_itag string, sessionId string, fill_timestamps array<string>").alias("m"))
+    return sent.select("m.order_itag", "m.sessionId", F.array_join("m.fill_timestamps", ",").alias("fill_timestamps"))
+
+
 def queries() -> dict[str, Query]:
     listed = [
         scan_prices_day, price_last_date, price_union_dedupe, price_upsert_latest, price_conform,
@@ -840,6 +867,7 @@ def queries() -> dict[str, Query]:
         missing_tickers, events_newer, events_accepted,
         stream_replay_positions, stream_late_recompute, stream_before_opening,
         stream_before_opening_cash, stream_events_positions, stream_signals_throttled,
+        stream_fill_match, stream_fill_confirmations,
     ]
     return {f.__name__: f for f in listed}
 

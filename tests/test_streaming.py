@@ -1,11 +1,15 @@
+import datetime as dt
 import json
+import random
+import time
 
 import books
 from books import alloc, at, fill
 
 from rollbook import schemas
+from rollbook.operators.execution import match_fills, open_orders
 from rollbook.sources import messages
-from rollbook.streaming import portfolio
+from rollbook.streaming import executions, portfolio
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
@@ -93,3 +97,61 @@ def test_timed_batches(spark, tmp_path):
         query.stop()
     assert query.exception() is None
     books.assert_same(books.collected(book.equity.read()), books.loop([at(h) for h in (0, 1, 2)], f, a, rows))
+
+
+def _legs():
+    """Orders and fills: complete, short, filled beyond the total, without an order, without a fill."""
+    order = lambda i, qty, status="open": (
+        "250101", i, "IB", 3, "A", "STK", "LMT", "BUY", float(qty), f"o{i}", at(0), status, None, "desk")
+    placed = [order(1, 10), order(2, 5), order(3, 4), order(4, 7), order(5, 6), order(6, 3, "filled")]
+    filled = lambda i, h, qty: (at(h), "A", i, 3, float(qty), 10.0 + h, 0.5)
+    done = [filled(1, 1, 4), filled(1, 2, 4), filled(1, 3, 2), filled(2, 1, 5), filled(3, 2, 3), filled(5, 1, 1), filled(5, 4, 5)]
+    return placed, [*done, filled(9, 1, 2), filled(6, 1, 3)]
+
+
+FLAT = ("fill_timestamp timestamp_ntz, secId string, api_internal_tag long, api_clientId long, "
+        "tradeQty double, avgPrice double, commission double")
+
+
+def _play(spark, root, desk, placed, filled, keep=executions.KEEP):
+    """Add one file to each stream and run what is available."""
+    for name, rows, schema in (("orders", placed, schemas.ORDERS), ("fills", filled, FLAT)):
+        books.frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+    streams = [spark.readStream.schema(s).parquet(f"{root}/{n}") for n, s in (("orders", schemas.ORDERS), ("fills", FLAT))]
+    executions.start_matching(desk, *streams, f"{root}/checkpoint", every=None, keep=keep).awaitTermination()
+
+
+def test_fills_match_in_any_arrival_order(spark, tmp_path):
+    """Several runs over one checkpoint, in several orders of arrival, release what the batch match does."""
+    placed, filled = _legs()
+    want = match_fills(open_orders(books.frame(spark, placed, schemas.ORDERS)), books.frame(spark, filled, FLAT))
+    for seed in range(2):
+        rng = random.Random(seed)
+        o, f = rng.sample(placed, len(placed)), rng.sample(filled, len(filled))
+        desk = executions.Desk(str(tmp_path / f"desk{seed}"))
+        for k in range(3):
+            _play(spark, tmp_path / f"in{seed}", desk, o[2 * k : 2 * k + 2], f[3 * k : 3 * k + 3])
+        assert sorted(desk.events(spark).collect()) == sorted(want.collect())
+        assert desk.events(spark, executions.OVER).count() == 0
+        sent = [json.loads(r.value) for r in desk.sent(spark).collect()]
+        assert sorted(m["order_itag"] for m in sent) == ["o1", "o2", "o5"]
+        assert {m["order_itag"]: len(m["fill_timestamps"]) for m in sent} == {"o1": 3, "o2": 1, "o5": 2}
+        assert sorted(r.order_itag for r in desk.log(spark).collect()) == ["o1", "o2", "o5"]
+
+
+def test_late_fills_and_expired_orders(spark, tmp_path):
+    """A fill of a released order is handed on; so is what still waits when its time is over."""
+    placed, filled = _legs()
+    desk = executions.Desk(str(tmp_path / "desk"))
+    keep = dt.timedelta(seconds=20)
+    _play(spark, tmp_path / "in", desk, placed, filled, keep)
+    _play(spark, tmp_path / "in", desk, placed[:1], [(at(5), "A", 2, 3, 1.0, 11.0, 0.5)], keep)
+    over = desk.events(spark, executions.OVER).collect()
+    assert [(r.order_itag, r.tradeQty) for r in over] == [("o2", 1.0)]
+    assert desk.events(spark).count() == 6
+    time.sleep(20)
+    _play(spark, tmp_path / "in", desk, [], [(at(6), "A", 77, 3, 1.0, 11.0, 0.5)], keep)
+    expired = desk.events(spark, executions.EXPIRED).collect()
+    assert sorted((r.api_internal_tag, r.order_itag, r.tradeQty) for r in expired if r.tradeQty) == [
+        (3, "o3", 3.0), (6, None, 3.0), (9, None, 2.0)]
+    assert [(r.order_itag, r.totalQty) for r in expired if r.tradeQty is None] == [("o4", 7.0)]
