@@ -5,7 +5,8 @@ piece of the vocabulary reaches across (before marks, around line feeds, between
 punctuation sign that follows a letter in no piece), so that the best segmentation of the text is
 that of its parts one after another. The distinct parts that a worker has not met yet are sorted;
 walking them in this order is a depth-first walk of their trie: forward scores up to the common
-prefix with the part before are still on the stack and are used again.
+prefix with the part before are still on the stack and are used again. The ids of a text are then
+gathered from those of its parts, and its bytes from those of its pieces, many texts at a time.
 
 The segmentation has the greatest sum of piece scores; of equal ones that with the longest last
 piece. Characters outside the vocabulary cost 10 more than the worst piece and become byte pieces.
@@ -61,7 +62,22 @@ class Pieces:
             p[i:]: self.plain.get(p[i:]) for p in self.plain for i in range(len(p))}
         self.unknown = min((s for s, _ in self.plain.values()), default=0.0) - UNKNOWN_COST
         self.cut = self._cuts()
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.raw_lengths = np.array([len(b) for b in self.raw], np.int64)
+        self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        #: Parts met so far by number; their pieces one after another; how often each was met.
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.lengths = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def forget(self, keep: int) -> None:
+        """Know only the `keep` parts met most often, with half their counts."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[:keep])
+        names = list(self.known)
+        self.known = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.ids, self.lengths = _gathered(self.ids, np.cumsum(self.lengths) - self.lengths, self.lengths, kept)
+        self.uses = self.uses[kept] // 2
 
     def _cuts(self) -> re.Pattern[str]:
         """The pattern of parts that no piece reaches out of."""
@@ -74,6 +90,8 @@ class Pieces:
 
     def segment(self, parts: Iterable[str]) -> None:
         """Add `parts`, sorted, to the known ones."""
+        pool: list[int] = []
+        lengths: list[int] = []
         scores = [0.0]
         links: list[tuple[int, int]] = [(0, -1)]  # for each length: where its last piece begins, and its id
         previous = ""
@@ -111,23 +129,59 @@ class Pieces:
                 else:
                     ids.extend(self.bytes_id[b] for b in reversed(part[begin:end].encode()))
                 end = begin
-            self.known[part] = tuple(reversed(ids))
+            self.known[part] = len(self.known)
+            pool.extend(reversed(ids))
+            lengths.append(len(ids))
             previous = part
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        parts = [self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {p for own in parts for p in own if p not in self.known}
+        self.ids = np.append(self.ids, np.array(pool, np.int32))
+        self.lengths = np.append(self.lengths, np.array(lengths, np.int64))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and how many each text has."""
+        parts: list[str] = []
+        ends = [0]
+        for t in texts:
+            if t:
+                parts += self.cut.findall(MARK + t.replace(" ", MARK))
+            ends.append(len(parts))
+        distinct = set(parts)
+        new = distinct.difference(self.known)
         if len(self.known) + len(new) > CACHED:
-            self.known = {}
-            new = {p for own in parts for p in own}
-        self.segment(sorted(new))
-        known = self.known
-        return [[i for p in own for i in known[p]] for own in parts]
-
-    def decode(self, ids: Iterable[int]) -> str:
-        raw = self.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+            self.forget(CACHED // 2)
+            new = distinct.difference(self.known)
+        if new:
+            self.segment(sorted(new))
+        numbers = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        self.uses = np.bincount(numbers, minlength=len(self.known)) + np.append(
+            self.uses, np.zeros(len(new), np.int64))
+        ids, lengths = _gathered(self.ids, np.cumsum(self.lengths) - self.lengths, self.lengths, numbers)
+        return ids, np.diff(np.append(0, np.cumsum(lengths))[ends])
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The texts of runs of ids, `counts` of them each; bytes that are no text are replaced."""
+        data, lengths = _gathered(self.raw_bytes, self.raw_starts, self.raw_lengths, ids)
+        ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
+        begins = ends[:-1][np.diff(ends) > 0]
+        marks = begins[data[begins] == ord(" ")]
+        data = np.delete(data, marks)
+        ends = ends - np.searchsorted(marks, ends, side="left")
+        texts = pa.StringArray.from_buffers(
+            len(counts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            texts = pa.array([
+                data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
+        return texts
+
+
+def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, numbers: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of `pool` of these numbers one after another, and their lengths."""
+    own = lengths[numbers]
+    ends = np.cumsum(own)
+    total = int(ends[-1]) if len(ends) else 0
+    return pool[np.arange(total) + np.repeat(starts[numbers] - ends + own, own)], own
 
 
 _loaded: dict[str, Pieces] = {}
@@ -154,14 +208,26 @@ def _some(column: pa.Array, chars: int = 2_000_000):
     yield run
 
 
+def _some_lists(column: pa.ListArray, items: int = 500_000):
+    """(ids, counts) of runs of rows of about so many ids in all."""
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.append(0, np.cumsum(counts))
+    at = 0
+    while at < len(counts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + items, side="right")) - 1)
+        yield ids[ends[at] : ends[to]], counts[at:to]
+        at = to
+
+
 def encoded(docs: DataFrame, model: str, text_column: str = "text", *, ids_column: str = "ids") -> DataFrame:
     """`docs` with the piece ids of each text; `model` is a path that the executors have."""
     @F.arrow_udf("array<int>")
     def of(column: pa.Array) -> pa.Array:
-        out = [np.array(ids, np.int32) for run in _some(column) for ids in pieces(model).encode(run)]
-        ends = np.cumsum([0, *map(len, out)])
+        out = [pieces(model).encode(run) for run in _some(column)]
+        ends = np.append(0, np.cumsum(np.concatenate([counts for _, counts in out])))
         return pa.ListArray.from_arrays(
-            pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
+            pa.array(ends, pa.int32()), pa.array(np.concatenate([ids for ids, _ in out]), pa.int32()))
 
     return docs.withColumn(ids_column, of(F.col(text_column)))
 
@@ -170,6 +236,8 @@ def decoded(docs: DataFrame, model: str, ids_column: str = "ids", *, text_column
     """`docs` with the text of each array of piece ids; null and empty arrays give the empty text."""
     @F.arrow_udf("string")
     def of(column: pa.Array) -> pa.Array:
-        return pa.array([pieces(model).decode(x.as_py() or ()) for x in column], pa.string())
+        return pa.concat_arrays([
+            pa.array([], pa.string()),
+            *[pieces(model).decode(ids, counts) for ids, counts in _some_lists(column)]])
 
     return docs.withColumn(text_column, of(F.col(ids_column)))
