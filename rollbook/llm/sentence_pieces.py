@@ -3,7 +3,7 @@
 Text is marked as the library does it: a mark in front, and one for every space. It is cut where no
 piece of the vocabulary reaches across (before marks, around line feeds, between a letter and a
 punctuation sign that follows a letter in no piece), so that the best segmentation of the text is
-that of its parts one after another. The distinct parts that a worker has not met yet are sorted;
+that of its parts one after another. The distinct parts of a run of texts that a worker has not met yet are sorted;
 walking them in this order is a depth-first walk of their trie: forward scores up to the common
 prefix with the part before are still on the stack and are used again. The ids of a text are then
 gathered from those of its parts, and its bytes from those of its pieces, many texts at a time.
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import string
-from collections.abc import Iterable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,18 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 UNKNOWN_COST = 10.0
-CACHED = 400_000
+CACHED = 600_000
 _LETTER = r"[^\W\d_]"
 
 
+class _Numbers(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, part: str) -> int:
+        n = self[part] = len(self)
+        return n
+
+
 class Pieces:
     """A vocabulary: pieces with scores, byte pieces and the places where text may be cut."""
 
@@ -65,9 +73,10 @@ class Pieces:
         self.raw_lengths = np.array([len(b) for b in self.raw], np.int64)
         self.raw_starts = np.cumsum(self.raw_lengths) - self.raw_lengths
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
-        #: Parts met so far by number; their pieces one after another; how often each was met.
-        self.known: dict[str, int] = {}
+        #: Parts met so far by number; their pieces, and where and how many they are; how often each was met.
+        self.known = _Numbers()
         self.ids = np.zeros(0, np.int32)
+        self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
 
@@ -75,8 +84,9 @@ class Pieces:
         """Know only the `keep` parts met most often, with half their counts."""
         kept = np.sort(np.argsort(-self.uses, kind="stable")[:keep])
         names = list(self.known)
-        self.known = {names[i]: n for n, i in enumerate(kept.tolist())}
-        self.ids, self.lengths = _gathered(self.ids, np.cumsum(self.lengths) - self.lengths, self.lengths, kept)
+        self.known = _Numbers((names[i], n) for n, i in enumerate(kept.tolist()))
+        self.ids, self.lengths = _gathered(self.ids, self.starts, self.lengths, kept)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.uses = self.uses[kept] // 2
 
     def _cuts(self) -> re.Pattern[str]:
@@ -88,73 +98,76 @@ class Pieces:
         inner = rf"(?:[^{MARK}\n{signs}]+|(?<!{_LETTER})[{signs}])" if signs else rf"[^{MARK}\n]"
         return re.compile(rf"\n|{MARK}*[^{MARK}\n]{inner}*|{MARK}+")
 
-    def segment(self, parts: Iterable[str]) -> None:
-        """Add `parts`, sorted, to the known ones."""
+    def segment(self, parts: list[str]) -> None:
+        """Find the pieces of `parts`, which are numbered on from those that have theirs."""
+        order = sorted(range(len(parts)), key=parts.__getitem__)
         pool: list[int] = []
         lengths: list[int] = []
         scores = [0.0]
-        links: list[tuple[int, int]] = [(0, -1)]  # for each length: where its last piece begins, and its id
+        begins, last_ids = [0], [-1]  # for each length: where its last piece begins, and its id
         previous = ""
-        plain, piece_ends = self.plain, self.ends
-        for part in parts:
+        ending, unknown = self.ends.get, self.unknown
+        for part in map(parts.__getitem__, order):
             shared = 0
             for a, b in zip(part, previous):
                 if a != b:
                     break
                 shared += 1
-            del scores[shared + 1 :], links[shared + 1 :]
+            del scores[shared + 1 :], begins[shared + 1 :], last_ids[shared + 1 :]
             for end in range(shared + 1, len(part) + 1):
-                best, first, piece = -1e300, end - 1, -1
-                if part[end - 1] not in plain:
-                    best = scores[end - 1] + self.unknown
-                begin = end - 1
-                while begin >= 0:
-                    last = part[begin:end]
-                    if last not in piece_ends:
-                        break
-                    found = piece_ends[last]
-                    if found is not None:
+                first, piece = end - 1, -1
+                found = ending(part[first:end], 0)
+                if found:
+                    best = scores[first] + found[0]
+                    piece = found[1]
+                else:
+                    best = scores[first] + unknown
+                begin = end - 2
+                while found != 0 and begin >= 0:
+                    found = ending(part[begin:end], 0)
+                    if found:
                         score = scores[begin] + found[0]
                         if score >= best:
                             best, first, piece = score, begin, found[1]
                     begin -= 1
                 scores.append(best)
-                links.append((first, piece))
+                begins.append(first)
+                last_ids.append(piece)
             ids: list[int] = []
             end = len(part)
             while end:
-                begin, piece = links[end]
+                begin, piece = begins[end], last_ids[end]
                 if piece >= 0:
                     ids.append(piece)
                 else:
                     ids.extend(self.bytes_id[b] for b in reversed(part[begin:end].encode()))
                 end = begin
-            self.known[part] = len(self.known)
             pool.extend(reversed(ids))
             lengths.append(len(ids))
             previous = part
+        own = np.array(lengths, np.int64)
+        place = np.argsort(np.array(order, np.int64))
+        self.starts = np.append(self.starts, (len(self.ids) + np.cumsum(own) - own)[place])
+        self.lengths = np.append(self.lengths, own[place])
         self.ids = np.append(self.ids, np.array(pool, np.int32))
-        self.lengths = np.append(self.lengths, np.array(lengths, np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
-        parts: list[str] = []
-        ends = [0]
+        old = len(self.known)
+        number = self.known.__getitem__
+        found = []
         for t in texts:
-            if t:
-                parts += self.cut.findall(MARK + t.replace(" ", MARK))
-            ends.append(len(parts))
-        distinct = set(parts)
-        new = distinct.difference(self.known)
-        if len(self.known) + len(new) > CACHED:
-            self.forget(CACHED // 2)
-            new = distinct.difference(self.known)
-        if new:
-            self.segment(sorted(new))
-        numbers = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+            parts = self.cut.findall(MARK + t.replace(" ", MARK)) if t else []
+            found.append(np.fromiter(map(number, parts), np.int64, len(parts)))
+        numbers = np.concatenate([np.zeros(0, np.int64), *found])
+        if len(self.known) > old:
+            self.segment(list(islice(self.known, old, None)))
         self.uses = np.bincount(numbers, minlength=len(self.known)) + np.append(
-            self.uses, np.zeros(len(new), np.int64))
-        ids, lengths = _gathered(self.ids, np.cumsum(self.lengths) - self.lengths, self.lengths, numbers)
+            self.uses, np.zeros(len(self.known) - old, np.int64))
+        ids, lengths = _gathered(self.ids, self.starts, self.lengths, numbers)
+        ends = np.cumsum([0, *map(len, found)])
+        if len(self.known) > CACHED:
+            self.forget(CACHED // 2)
         return ids, np.diff(np.append(0, np.cumsum(lengths))[ends])
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -194,7 +207,7 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-def _some(column: pa.Array, chars: int = 2_000_000):
+def _some(column: pa.Array, chars: int = 8_000_000):
     """Runs of texts of about so many characters."""
     run: list[str] = []
     n = 0
