@@ -576,6 +576,9 @@ def oracle_sql() -> dict[str, str]:
         "stream_events_positions": _sql(f"""
             SELECT timestamp, port, ticker, amount, {c('avgPrice')} AS avgPrice, {c('price')} AS price,
                    price_source, {c('mtm')} AS mtm FROM equity""", "equity", steps=with_fills),
+        "stream_signal_messages": _sql("""
+            SELECT d.ticker, price, action, strftime(date, '%Y%m%d%H%M%S') AS signal_timestamp FROM directed d
+            JOIN chain c ON c.ticker = d.ticker AND c.last = d.date WHERE hop > 0""", "chain"),
         "stream_signals_throttled": _sql("""
             SELECT tick_id, t.ticker FROM ticks t
             JOIN chain_all c ON c.ticker = t.ticker AND c.last = t.date""", "chain_all"),

@@ -21,7 +21,7 @@ from rollbook.sources import broker, messages, prices, relational, tables
 from rollbook.streaming import executions
 from rollbook.streaming import portfolio as stream_book
 from rollbook.streaming import replay
-from rollbook.streaming.signals import throttled_stream
+from rollbook.streaming.signals import SIGNAL, signal_stream, throttled_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -814,6 +814,36 @@ def stream_signals_throttled(spark: SparkSession, d: str) -> DataFrame:
     return passed.select(F.col("id").alias("tick_id"), "ticker")
 
 
+def stream_signal_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Signals with price and action out of a stream that plays the last days first, and their messages."""
+    ticks = fx.ticks(spark, d).select("date", "ticker", "price", "tick_id")
+    means = signals.calibration_of(ticks, DAY).withColumn("day_mean", F.round("day_mean", DIGITS))
+    root = scratch_path(spark, "stream")
+    replay.write_replay(ticks, f"{root}/in", "date", 3, late_first=True)
+    # Closing rows come in a second run, as they would at the end of a session.
+    closing = ticks.select(
+        (F.col("date") + F.expr("INTERVAL 100 DAY")).alias("date"), "ticker",
+        F.lit(None).cast("double").alias("price"), F.lit(None).cast("long").alias("tick_id")
+    ).groupBy("ticker", "price", "tick_id").agg(F.max("date").alias("date")).select(*ticks.columns)
+
+    def run() -> None:
+        out = signal_stream(replay.read_replay(spark, f"{root}/in", ticks), means, THROTTLE, dt.timedelta(days=60))
+        (
+            out.writeStream.format("parquet").option("path", f"{root}/out")
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+            .awaitTermination())
+
+    run()
+    closing.write.mode("append").parquet(f"{root}/in")
+    run()
+    sent = spark.read.parquet(f"{root}/out").where(F.col("event") == SIGNAL)
+    bodies = signals.signal_bodies(sent, {"1": 2.0, "2": 1.0})
+    fields = ["symbol", "lmtPrice", "signal_timestamp", "action"]
+    sent = messages.encode(bodies, *fields, "typeAlloc", "portAlloc")
+    return sent.select(*[F.get_json_object("body", f"$.{f}").alias(f) for f in fields]).select(
+        F.col("symbol").alias("ticker"), F.col("lmtPrice").cast("double").alias("price"), "action", "signal_timestamp")
+
+
 def _executions(spark: SparkSession, d: str) -> executions.Desk:
     """Orders and fills as two streams, the fills of the last months first."""
     root = scratch_path(spark, "stream")
@@ -867,6 +897,7 @@ def queries() -> dict[str, Query]:
         missing_tickers, events_newer, events_accepted,
         stream_replay_positions, stream_late_recompute, stream_before_opening,
         stream_before_opening_cash, stream_events_positions, stream_signals_throttled,
+        stream_signal_messages,
         stream_fill_match, stream_fill_confirmations,
     ]
     return {f.__name__: f for f in listed}

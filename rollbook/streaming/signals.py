@@ -54,3 +54,82 @@ def throttled_stream(
         timed.withWatermark("event_time", late).groupBy("ticker")
         .applyInPandasWithState(
             step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout))
+
+
+#: Kinds of rows that `signal_stream` releases.
+SIGNAL, LATE = "signal", "late"
+
+_ROW = ["us", "id", "price", "action"]
+_SIGNAL_STATE = ("last long, released long, us array<long>, id array<long>, price array<double>, "
+                 "action array<string>")
+_SIGNAL_OUT = "event string, ticker string, us long, id long, price double, action string"
+
+
+def _releaser(spacing: int, delay: int, idle: int | None):
+    def step(ids: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, released, *waiting = state.get if state.exists else (None, None, [], [], [], [])
+        kept = [pd.DataFrame(dict(zip(_ROW, map(list, waiting))))]
+        seen = max(kept[0]["us"], default=None)
+        late = []
+        for f in frames:
+            if last is None:
+                last = int(f["start_us"].iloc[0])
+            newest = int(f["us"].max())
+            seen = newest if seen is None else max(seen, newest)
+            f = f.loc[f["action"].notna(), _ROW]
+            behind = f["us"] <= released if released is not None else np.zeros(len(f), bool)
+            late.append(f[behind])
+            kept.append(f[~behind])
+        rows = pd.concat([k for k in kept if len(k)] or kept[:1], ignore_index=True)
+        if seen is not None:
+            # A ticker that stayed silent has nothing more to wait for.
+            upto = seen if state.hasTimedOut else seen - delay
+            released = upto if released is None else max(released, upto)
+        due = (rows["us"] <= released).to_numpy(bool) if released is not None else np.zeros(len(rows), bool)
+        passed, last = throttle_batch(rows[due], last, spacing)
+        rows = rows[~due]
+        state.update((last, released, *[rows[c].tolist() for c in _ROW]))
+        if idle is not None and len(rows):
+            state.setTimeoutDuration(idle)
+        for event, out in ((SIGNAL, passed), *[(LATE, x) for x in late]):
+            if len(out):
+                yield out.assign(event=event, ticker=ids[0])[["event", "ticker", *_ROW]]
+
+    return step
+
+
+def signal_stream(
+    ticks: DataFrame, means: DataFrame, freq: dt.timedelta, delay: dt.timedelta,
+    idle: dt.timedelta | None = None, row_id: str = "tick_id",
+) -> DataFrame:
+    """Rows (event, ticker, date, id, price, action) out of a stream of (ticker, date, price, id).
+
+    `means` is the calibration: (ticker, day_mean, first_ts); the first spacing counts from first_ts
+    and tickers without a calibration have no signals. A ticker's rows wait until one `delay` later
+    has come and are then spaced in time order, so that arrival within the delay does not matter.
+    There is no watermark and nothing is dropped: a row that comes when its time has been released
+    is an event LATE, with everything it carried, for whoever has to know; it changes no signal that
+    is out already. Rows at the mean or without a price give no signal but let time pass; a closing
+    row without a price releases what a ticker still has. A null id counts as -1; rows without a ticker
+    or time are no ticks. With `idle`, a ticker that stays silent
+    for so long is released too, which takes a timed trigger.
+
+    State is per ticker: its last signal, the time released and the rows of one delay.
+    """
+    def count(t: dt.timedelta, unit: dt.timedelta) -> int:
+        return int(t / unit)
+
+    action = F.when(F.col("price") > F.col("day_mean"), "BUY").when(F.col("price") < F.col("day_mean"), "SELL")
+    placed = ticks.join(means.select("ticker", "day_mean", "first_ts"), "ticker").select(
+        F.col("ticker").cast("string").alias("ticker"), micros(F.col("date")).alias("us"),
+        F.coalesce(F.col(row_id), F.lit(-1)).cast("long").alias("id"), F.col("price").cast("double").alias("price"), action.alias("action"),
+        micros(F.col("first_ts")).alias("start_us"))
+    micro = dt.timedelta(microseconds=1)
+    step = _releaser(
+        max(1, count(freq, micro)), count(delay, micro),
+        None if idle is None else max(1, count(idle, dt.timedelta(milliseconds=1))))
+    released = placed.where(F.col("us").isNotNull()).groupBy("ticker").applyInPandasWithState(
+        step, _SIGNAL_OUT, _SIGNAL_STATE, "append",
+        GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
+    return released.select(
+        "event", "ticker", F.timestamp_micros("us").cast("timestamp_ntz").alias("date"), "id", "price", "action")

@@ -9,7 +9,7 @@ from books import alloc, at, fill
 from rollbook import schemas
 from rollbook.operators.execution import match_fills, open_orders
 from rollbook.sources import messages
-from rollbook.streaming import executions, portfolio
+from rollbook.streaming import executions, portfolio, signals
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
@@ -155,3 +155,69 @@ def test_late_fills_and_expired_orders(spark, tmp_path):
     assert sorted((r.api_internal_tag, r.order_itag, r.tradeQty) for r in expired if r.tradeQty) == [
         (3, "o3", 3.0), (6, None, 3.0), (9, None, 2.0)]
     assert [(r.order_itag, r.totalQty) for r in expired if r.tradeQty is None] == [("o4", 7.0)]
+
+
+def _spaced(batches, means, freq, delay):
+    """Signals and late rows by a loop over batches, tickers and rows."""
+    signal, late = set(), set()
+    state = {}
+    for batch in batches:
+        for ticker in {r[1] for r in batch} & set(means):
+            mean, first = means[ticker]
+            last, released, waiting = state.get(ticker, (first, None, []))
+            own = [r for r in batch if r[1] == ticker]
+            for r in own:
+                if r[2] is None or r[2] == mean:
+                    continue
+                if released is not None and r[0] <= released:
+                    late.add(r[3])
+                else:
+                    waiting = [*waiting, r]
+            seen = max(r[0] for r in own + waiting)
+            released = seen - delay if released is None else max(released, seen - delay)
+            taken = last
+            for r in sorted((r for r in waiting if r[0] <= released), key=lambda r: r[0]):
+                if r[0] > taken + freq:
+                    taken = r[0]
+                if r[0] == taken:
+                    signal.add(r[3])
+            state[ticker] = (taken, released, [r for r in waiting if r[0] > released])
+    return signal, late
+
+
+def test_signal_stream_loses_no_row(spark, tmp_path):
+    rng = random.Random(5)
+    start = dt.datetime(2024, 1, 2)
+    second = dt.timedelta(seconds=1)
+    freq, delay = 30 * second, 200 * second
+    batches, n = [], 0
+    for b in range(4):
+        batch = []
+        for _ in range(120):
+            n += 1
+            # Most rows come in their time, some long after it.
+            t = start + second * max(1, 300 * b + rng.randrange(300) - rng.choice([0, 0, 0, 150, 500]))
+            price = rng.choice([9.0, 10.0, 11.0, 12.5, None])
+            batch.append((t, rng.choice(["A", "A", "A", "B", "no mean"]), price, n))
+        batches.append(batch)
+    batches.append([(start + dt.timedelta(days=1), t, None, None) for t in ("A", "B")])
+    means = {"A": (10.0, start), "B": (11.0, start)}
+    calibrated = spark.createDataFrame(
+        [(t, *m) for t, m in means.items()], "ticker string, day_mean double, first_ts timestamp_ntz")
+    schema = "date timestamp_ntz, ticker string, price double, tick_id long"
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out = signals.signal_stream(
+            spark.readStream.schema(schema).parquet(str(tmp_path / "in")), calibrated, freq, delay)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    signal, late = _spaced(batches, means, freq, delay)
+    assert {r.id for r in got if r.event == signals.SIGNAL} == signal
+    assert {r.id for r in got if r.event == signals.LATE} == late
+    assert signal and late and len(got) == len(signal) + len(late)
+    rows = {r[3]: r for b in batches for r in b}
+    for r in got:
+        t, ticker, price, _ = rows[r.id]
+        assert (r.date, r.ticker, r.price) == (t, ticker, price)
+        assert r.action == ("BUY" if price > means[ticker][0] else "SELL")
