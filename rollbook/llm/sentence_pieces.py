@@ -151,7 +151,7 @@ class Pieces:
         self.lengths = np.append(self.lengths, own[place])
         self.ids = np.append(self.ids, np.array(pool, np.int32))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each text has."""
         old = len(self.known)
         number = self.known.__getitem__
@@ -170,7 +170,7 @@ class Pieces:
             self.forget(CACHED // 2)
         return ids, np.diff(np.append(0, np.cumsum(lengths))[ends])
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    def decode_run(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
         """The texts of runs of ids, `counts` of them each; bytes that are no text are replaced."""
         data, lengths = _gathered(self.raw_bytes, self.raw_starts, self.raw_lengths, ids)
         ends = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
@@ -187,6 +187,15 @@ class Pieces:
                 data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends, ends[1:])], pa.string())
         return texts
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of each text."""
+        ids, counts = self.encode_run(texts)
+        return [own.tolist() for own in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of one run of ids."""
+        return self.decode_run(np.array(ids, np.int64), np.array([len(ids)]))[0].as_py()
+
 
 def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray, numbers: np.ndarray
               ) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +246,7 @@ def encoded(docs: DataFrame, model: str, text_column: str = "text", *, ids_colum
     """`docs` with the piece ids of each text; `model` is a path that the executors have."""
     @F.arrow_udf("array<int>")
     def of(column: pa.Array) -> pa.Array:
-        out = [pieces(model).encode(run) for run in _some(column)]
+        out = [pieces(model).encode_run(run) for run in _some(column)]
         ends = np.append(0, np.cumsum(np.concatenate([counts for _, counts in out])))
         return pa.ListArray.from_arrays(
             pa.array(ends, pa.int32()), pa.array(np.concatenate([ids for ids, _ in out]), pa.int32()))
@@ -251,6 +260,6 @@ def decoded(docs: DataFrame, model: str, ids_column: str = "ids", *, text_column
     def of(column: pa.Array) -> pa.Array:
         return pa.concat_arrays([
             pa.array([], pa.string()),
-            *[pieces(model).decode(ids, counts) for ids, counts in _some_lists(column)]])
+            *[pieces(model).decode_run(ids, counts) for ids, counts in _some_lists(column)]])
 
     return docs.withColumn(text_column, of(F.col(ids_column)))

@@ -452,6 +452,24 @@ def test_sentence_pieces(spark):
     assert all(r.round_trip for r in queries.op3_sentence_pieces(spark, SF).collect())
 
 
+def test_sentence_pieces_forget_and_replace(spark, monkeypatch):
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    texts_ = [t for _, t in documents(spark)]
+    want = sentence_pieces.Pieces(path).encode(texts_)
+    monkeypatch.setattr(sentence_pieces, "CACHED", 500)
+    small = sentence_pieces.Pieces(path)
+    assert [ids for i in range(0, len(texts_), 7) for ids in small.encode(texts_[i : i + 7])] == want
+    assert len(small.known) <= 500
+    raw = [[small.bytes_id[0xE6]], [], [small.bytes_id[32], small.bytes_id[0xE6]], [1, 2], small.encode(["a é"])[0]]
+    column = sentence_pieces.pa.array([*raw, None], sentence_pieces.pa.list_(sentence_pieces.pa.int32()))
+    got = [t for run in sentence_pieces._some_lists(column, 2) for t in small.decode_run(*run).to_pylist()]
+    assert got == ["\ufffd", "", "\ufffd", "", "a é", ""]
+    df = spark.createDataFrame([("x y", "old", 3), (None, "old", 4)], "text string, decoded string, ids int")
+    rows = sentence_pieces.decoded(sentence_pieces.encoded(df, path), path).select("text", "decoded").collect()
+    assert [tuple(r) for r in rows] == [("x y", "x y"), (None, "")]
+    assert sentence_pieces.decoded(sentence_pieces.encoded(cases.empty(spark), path), path).count() == 0
+
+
 def test_empty_tables(spark):
     df = cases.empty(spark)
     for got in (near_duplicates(df), substring_dedup(df), line_dedup(df), secret_report(df), redacted(df),
