@@ -178,3 +178,14 @@ def test_blocks_equal_a_loop(spark, monkeypatch, seed, block):
     monkeypatch.undo()
     again = run(spark, f, a, p, range(1, 12))
     assert plain == {(r.timestamp, r.port): r.amount for r in again.cash.collect()}
+
+
+def test_no_interval_leaves_its_block(spark, monkeypatch):
+    """Positions are listed where their block is ordered; a held position begins each block anew."""
+    monkeypatch.setattr(grid_ops, "WINDOW_STEPS", 0)
+    monkeypatch.setattr(grid_ops, "BLOCK_STEPS", 3)
+    f = [fill(0.5, "A", "o", "BUY", 4, 10), fill(9.5, "A", "p", "SELL", 4, 11)]
+    done = run(spark, f, [alloc("o", "1", 1.0), alloc("p", "1", 1.0)], [], range(1, 12))
+    found = [(r.step, r.until, r.amount) for r in done.intervals.collect()]
+    assert sorted(found) == [(1, 2, 4.0), (3, 5, 4.0), (6, 8, 4.0), (9, 9, 4.0), (10, 10, 0.0)]
+    assert done.equity.count() == 10
