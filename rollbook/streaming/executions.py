@@ -1,28 +1,29 @@
 """Fill matching on two streams, placed orders and broker fills, whatever their order of arrival.
 
-State is kept for each leg (broker's order id, client, security): its order, the shares filled so far
-and the fills that wait. A fill may come before its order. When the shares add up to the order's, all
+A desk keeps for each leg (broker's order id, client, security) its order, the shares filled so far and
+the fills that wait. A fill may come before its order. When the shares add up to the order's, all
 its fills are released in that batch as fill-record rows, once. Nothing is dropped: a fill that comes
 for an order already released is handed on as `over`, and what is still waiting when `keep` has passed
 since a leg was first heard of (orders are good for a day) is handed on as `expired`, its order too
 where no fill came. There is no watermark; time here is that of the machine.
 
+A batch is matched as a whole: its rows and the legs kept by the batch before are grouped by leg, and
+the fills join what became of their leg. What is kept is written anew by each batch, so a batch that is
+run again starts from the same state. No leg's fills meet in one task's memory.
+
 An order told again is the same order. Shares are whole numbers, so sums do not depend on arrival.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
+import time
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from rollbook.functions.times import micros
 from rollbook.operators import orders as order_flow
 from rollbook.operators.execution import LEG, confirmations, open_orders
 from rollbook.schemas import FILLS, conform
@@ -32,98 +33,95 @@ from rollbook.streaming.portfolio import batch_name
 FILLED, OVER, EXPIRED = "filled", "over", "expired"
 KEEP = dt.timedelta(days=1)
 
-_ORDER = ["sessionId", "api_client", "secType", "orderType", "side", "totalQty", "order_itag", "placed_us"]
-_FILL = ["fill_us", "avgPrice", "commission", "tradeQty"]
-_ORDER_TYPES = ("sessionId string, api_client string, secType string, orderType string, side string, "
-                "totalQty double, order_itag string, placed_us long")
-_FILL_TYPES = "fill_us long, avgPrice double, commission double, tradeQty double"
-_STATE = (f"known boolean, done boolean, until long, filled double, {_ORDER_TYPES}, "
-          "fill_us array<long>, avgPrice array<double>, commission array<double>, tradeQty array<double>")
-_OUT = f"event string, api_internal_tag long, api_clientId long, secId string, {_ORDER_TYPES}, {_FILL_TYPES}"
-_COLUMNS = ["event", *LEG, *_ORDER, *_FILL]
-
-
-def _rows(event: str, key: tuple, order: list, fills: pd.DataFrame) -> pd.DataFrame:
-    return fills.assign(**({"event": event} | dict(zip(LEG, key)) | dict(zip(_ORDER, order))))[_COLUMNS]
-
-
-def _plain(value):
-    """A cell as a Python value."""
-    return None if pd.isna(value) else value.item() if hasattr(value, "item") else value
-
-
-def _matcher(keep_ms: int):
-    """One leg: whether its order is known, whether it was released, until when it is kept, the shares
-    filled, the order, and the fills that wait, which an order good for a day keeps few."""
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.getCurrentProcessingTimeMs()
-        if state.exists:
-            known, done, until, filled, *held = state.get
-        else:
-            known, done, until, filled, *held = False, False, now + keep_ms, 0.0, *[None] * len(_ORDER), *[[] for _ in _FILL]
-        order = held[: len(_ORDER)]
-        waiting = pd.DataFrame(dict(zip(_FILL, held[len(_ORDER) :])))
-        if state.hasTimedOut:
-            if len(waiting):
-                yield _rows(EXPIRED, key, order, waiting)
-            elif known and not done:
-                yield _rows(EXPIRED, key, order, pd.DataFrame([[None] * len(_FILL)], columns=_FILL))
-            state.remove()
-            return
-        new = []
-        for frame in frames:
-            mine = frame[frame["is_order"]]
-            if not known and len(mine):
-                known, order = True, [_plain(mine.iloc[0][c]) for c in _ORDER]
-            new.append(frame.loc[~frame["is_order"], _FILL])
-        new = pd.concat(new, ignore_index=True)
-        filled += float(new["tradeQty"].sum())
-        if done:
-            yield _rows(OVER, key, order, new)
-        else:
-            waiting = pd.concat([waiting, new], ignore_index=True) if len(waiting) else new
-            if known and len(waiting) and filled == order[_ORDER.index("totalQty")]:
-                yield _rows(FILLED, key, order, waiting)
-                done, waiting = True, waiting[:0]
-        if order[-1] is not None:
-            order[-1] = int(order[-1])
-        kept = [[_plain(x) for x in waiting[c]] for c in _FILL]
-        kept[0] = [None if x is None else int(x) for x in kept[0]]
-        state.update((known, done, until, filled, *order, *kept))
-        state.setTimeoutDuration(max(1, until - now))
-
-    return step
-
-
-def matched_stream(orders: DataFrame, fills: DataFrame, client: str = "IB", keep: dt.timedelta = KEEP) -> DataFrame:
-    """Fill-record rows with `event`: filled, over or expired.
+_ORDER = ["sessionId", "api_client", "secType", "orderType", "side", "totalQty", "order_itag", "placed_timestamp"]
+_FILL = ["fill_timestamp", "avgPrice", "commission", "tradeQty"]
+_TYPES = {f.name: f.dataType for f in FILLS}
+# Kinds of rows in a batch; a pulse only lets time pass.
+_PLACED, _FILL_ROW, _PULSE = "order", "fill", "pulse"
+
+
+def _struct(names: list[str]) -> Column:
+    return F.struct(*[F.col(c).cast(_TYPES[c]).alias(c) for c in names])
+
+
+def _none(names: list[str]) -> Column:
+    return F.lit(None).cast("struct<" + ",".join(f"{c}:{_TYPES[c].simpleString()}" for c in names) + ">")
+
+
+def _leg() -> list[Column]:
+    return [F.col(c).cast(_TYPES[c]).alias(c) for c in LEG]
+
+
+def offered(orders: DataFrame, fills: DataFrame, client: str = "IB") -> DataFrame:
+    """Both streams as one: the leg, `kind`, and an `order` or a `fill`.
 
     `orders` are order-record rows, of which the open ones of `client` count; `fills` flat broker fills.
-    Hash partitions of the legs share the work; a leg's rows of one batch are bounded by the trigger.
+    A pulse a second lets the legs of silent streams expire.
     """
     placed = open_orders(orders, client).select(
-        *LEG, F.lit(True).alias("is_order"), *_ORDER[:-1], micros(F.col("placed_timestamp")).alias("placed_us"),
-        *[F.lit(None).cast(t).alias(c) for c, t in zip(_FILL, ["long", "double", "double", "double"])])
-    types = dict(x.split() for x in _ORDER_TYPES.split(", "))
+        *_leg(), F.lit(_PLACED).alias("kind"), _struct(_ORDER).alias("order"), _none(_FILL).alias("fill"))
     filled = fills.select(
-        *LEG, F.lit(False).alias("is_order"), *[F.lit(None).cast(types[c]).alias(c) for c in _ORDER],
-        micros(F.col("fill_timestamp")).alias("fill_us"), *[F.col(c).cast("double").alias(c) for c in _FILL[1:]])
-    released = placed.unionByName(filled).groupBy(*LEG).applyInPandasWithState(
-        _matcher(int(keep / dt.timedelta(milliseconds=1))), _OUT, _STATE, "append",
-        GroupStateTimeout.ProcessingTimeTimeout)
-
-    def stamp(column: str):
-        return F.timestamp_micros(column).cast("timestamp_ntz")
-
-    named = released.withColumn("placed_timestamp", stamp("placed_us")).withColumn("fill_timestamp", stamp("fill_us"))
-    return named.select("event", *FILLS.fieldNames())
+        *_leg(), F.lit(_FILL_ROW).alias("kind"), _none(_ORDER).alias("order"), _struct(_FILL).alias("fill"))
+    both = placed.unionByName(filled)
+    if not both.isStreaming:
+        return both
+    pulse = orders.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load().select(
+        *[F.lit(None).cast(_TYPES[c]).alias(c) for c in LEG], F.lit(_PULSE).alias("kind"),
+        _none(_ORDER).alias("order"), _none(_FILL).alias("fill"))
+    return both.unionByName(pulse)
+
+
+def match_legs(kept: DataFrame, waiting: DataFrame, batch: DataFrame, now_ms: int, keep_ms: int) -> DataFrame:
+    """What becomes of each leg in a batch.
+
+    `kept` are the legs of the batch before (as returned here), `waiting` its fills (leg, fill). Comes out:
+    the leg's order, shares filled and `until` when it is kept; `was_done` says that it was released in
+    an earlier batch, `done` that it is now, `expired` that its time is over.
+    """
+    n = F.lit(0).cast("long")
+    some = kept.select(*LEG, "order", "done", "until", "filled", n.alias("waits"), F.lit(False).alias("heard"))
+    some = some.unionByName(waiting.select(
+        *LEG, _none(_ORDER).alias("order"), F.lit(False).alias("done"), F.lit(None).cast("long").alias("until"),
+        F.lit(0.0).alias("filled"), F.lit(1).cast("long").alias("waits"), F.lit(False).alias("heard")))
+    is_fill = F.col("kind") == _FILL_ROW
+    some = some.unionByName(batch.select(
+        *LEG, "order", F.lit(False).alias("done"), F.lit(None).cast("long").alias("until"),
+        F.when(is_fill, F.coalesce("fill.tradeQty", F.lit(0.0))).otherwise(0.0).alias("filled"),
+        F.when(is_fill, 1).otherwise(0).cast("long").alias("waits"), F.lit(True).alias("heard")))
+    # The order known before stays; of several told in one batch any is the same.
+    held = F.when(F.col("order").isNotNull(), F.struct((~F.col("heard")).alias("before"), "order"))
+    legs = some.groupBy(*LEG).agg(
+        F.max(held).alias("order"), F.max("done").alias("was_done"), F.max("until").alias("until"),
+        F.sum("filled").alias("filled"), F.sum("waits").alias("waits"), F.max("heard").alias("heard"))
+    known = F.col("order").isNotNull()
+    full = known & (F.col("waits") > 0) & (F.col("filled") == F.col("order.totalQty"))
+    return legs.withColumn("order", F.col("order.order")).select(
+        *LEG, "order", "was_done", (F.col("was_done") | F.coalesce(full, F.lit(False))).alias("done"),
+        F.coalesce("until", F.lit(now_ms + keep_ms)).alias("until"), "filled", "waits",
+        (~F.col("heard") & (F.col("until") <= now_ms)).alias("expired"))
+
+
+def match_fills_of(legs: DataFrame, waiting: DataFrame, batch: DataFrame) -> DataFrame:
+    """The waiting fills and those of the batch with their leg's order and `event`, NULL while they wait."""
+    fills = waiting.select(*LEG, "fill").unionByName(batch.where(F.col("kind") == _FILL_ROW).select(*LEG, "fill"))
+    named = legs.select(*[F.col(c).alias(f"_{c}") for c in LEG], "order", "was_done", "done", "expired")
+    same = F.lit(True)
+    for c in LEG:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    event = F.when(F.col("was_done"), OVER).when(F.col("done"), FILLED).when(F.col("expired"), EXPIRED)
+    return fills.join(named, same).select(event.alias("event"), *LEG, "order", "fill")
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    return rows.select("event", *LEG, "order.*", "fill.*").select("event", *FILLS.fieldNames())
 
 
 @dataclass(frozen=True)
 class Desk:
     """Folders of what matching leaves: every event, log rows and confirmations to send.
 
-    Each batch writes its own folder; one that is run again writes the same rows there again.
+    Each batch writes its own folder; one that is run again writes the same rows there again. `state`
+    holds what the last two batches kept.
     """
 
     path: str
@@ -142,6 +140,35 @@ class Desk:
         """Encoded confirmations, one per order."""
         return spark.read.schema("value string").text(f"{self.path}/outbox")
 
+    def _state(self, batch: DataFrame, batch_id: int) -> str:
+        return f"{self.path}/state/batch={batch_name(batch, batch_id)}"
+
+    def match(self, batch: DataFrame, batch_id: int, keep: dt.timedelta = KEEP) -> None:
+        """One batch of `offered` rows: matched with what the batch before kept, and its events taken."""
+        spark, now = batch.sparkSession, int(time.time() * 1000)
+        batch = batch.where(F.col("kind") != _PULSE)
+        here, last, older = (self._state(batch, batch_id - i) for i in range(3))
+        fs = spark._jvm.org.apache.hadoop.fs
+        folder = fs.Path(last)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        waiting = batch.where(F.lit(False)).select(*LEG, "fill")
+        kept = batch.where(F.lit(False)).select(
+            *LEG, "order", F.lit(False).alias("done"), F.lit(0).cast("long").alias("until"), F.lit(0.0).alias("filled"))
+        if batch_id > 0 and files.exists(folder):
+            waiting = spark.read.schema(waiting.schema).parquet(f"{last}/waiting")
+            kept = spark.read.schema(f"{kept._jdf.schema().toDDL()}, expired boolean").parquet(f"{last}/legs").where(
+                ~F.col("expired")).drop("expired")
+        legs = match_legs(kept, waiting, batch, now, int(keep / dt.timedelta(milliseconds=1)))
+        legs.write.mode("overwrite").parquet(f"{here}/legs")
+        legs = spark.read.schema(legs.schema).parquet(f"{here}/legs")
+        fills = match_fills_of(legs, waiting, batch)
+        silent = legs.where(F.col("expired") & ~F.col("done") & (F.col("waits") == 0) & F.col("order").isNotNull())
+        self.take(_records(fills.where(F.col("event").isNotNull())).unionByName(_records(silent.select(
+            F.lit(EXPIRED).alias("event"), *LEG, "order", _none(_FILL).alias("fill")))), batch_id)
+        fills.where(F.col("event").isNull()).select(*LEG, "fill").write.mode("overwrite").parquet(f"{here}/waiting")
+        if batch_id > 1:  # a batch that is run again needs no more than the one before it
+            files.delete(fs.Path(older), True)
+
     def take(self, batch: DataFrame, batch_id: int) -> None:
         """One batch of events: kept, then logged and confirmed from what was kept."""
         name = f"batch={batch_name(batch, batch_id)}"
@@ -160,17 +187,9 @@ def start_matching(
 ) -> StreamingQuery:
     """Match as fills come in; with `every=None`, what is available now and then stop.
 
-    A timed query looks at every pulse for what has expired, the other one only with new rows.
+    A timed query looks at every pulse for what has expired, the other one in each of its batches.
     """
-    writer = matched_stream(orders, fills, client, keep).writeStream.outputMode("append")
-    writer = writer.option("checkpointLocation", checkpoint).foreachBatch(desk.take)
-    if every is not None:
-        return writer.trigger(processingTime=every).start()
-    # Waiting legs ask for one empty batch after another; without new rows this run has to end.
-    conf, idle = orders.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
-    before = conf.get(idle)
-    conf.set(idle, "false")
-    try:
-        return writer.trigger(availableNow=True).start()
-    finally:
-        conf.set(idle, before)
+    writer = offered(orders, fills, client).writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, batch_id: desk.match(batch, batch_id, keep))
+    writer = writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+    return writer.start()

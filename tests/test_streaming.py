@@ -139,6 +139,25 @@ def test_fills_match_in_any_arrival_order(spark, tmp_path):
         assert sorted(r.order_itag for r in desk.log(spark).collect()) == ["o1", "o2", "o5"]
 
 
+def test_a_batch_is_matched_as_a_whole(spark, tmp_path):
+    """Thousands of legs in one batch; one run again starts from the same state."""
+    n = 3000
+    orders = books.frame(spark, [
+        ("250101", i, "IB", 3, "A", "STK", "LMT", "BUY", 2.0, f"o{i}", at(0), "open", None, "desk") for i in range(n)], schemas.ORDERS)
+    fills = books.frame(spark, [(at(1 + k), "A", i, 3, 1.0, 10.0, 0.5) for i in range(n) for k in range(2)], FLAT)
+    desk = executions.Desk(str(tmp_path / "desk"))
+    both = executions.offered(orders, fills)
+    first = both.where("fill IS NULL OR hour(fill.fill_timestamp) = 1")
+    desk.match(first, 0)
+    assert desk.events(spark).count() == 0
+    for _ in range(2):
+        desk.match(both.where("hour(fill.fill_timestamp) = 2 AND api_internal_tag % 3 > 0"), 1)
+        assert desk.events(spark).count() == n // 3 * 4
+    desk.match(both.where("hour(fill.fill_timestamp) = 2"), 2)
+    assert desk.events(spark).count() == 2 * n
+    assert desk.events(spark, executions.OVER).count() == n // 3 * 2
+
+
 def test_late_fills_and_expired_orders(spark, tmp_path):
     """A fill of a released order is handed on; so is what still waits when its time is over."""
     placed, filled = _legs()
