@@ -68,7 +68,7 @@ def _chain_exits(ts: np.ndarray, freq: int, entries: int) -> np.ndarray:
         at = np.where(moving, onward, at)
 
 
-def _accepted(ts: np.ndarray, freq: int, last: int | None) -> np.ndarray:
+def accepted(ts: np.ndarray, freq: int, last: int | None) -> np.ndarray:
     """Times the chain accepts in the block, entering after `last`."""
     after = _successors(ts, freq)
     i = 0 if last is None else int(np.searchsorted(ts, last + freq, side="right"))
@@ -163,7 +163,7 @@ def throttled(
             last=_follow(pieces, entry["last"][0].as_py(), spacing))
 
     def mark(rows: pa.Table, entry: pa.Table) -> pa.Table:
-        taken = _accepted(np.sort(rows["us"].to_numpy()), spacing, entry["last"][0].as_py())
+        taken = accepted(np.sort(rows["us"].to_numpy()), spacing, entry["last"][0].as_py())
         return _columns(rows, len(taken), us=taken)
 
     kind = f"k {events.schema[key].dataType.simpleString()}"
@@ -211,7 +211,7 @@ def throttle_batch(
     """Spacing of one in-order batch of rows with `us`, for the streaming form."""
     pdf = pdf.sort_values("us", kind="stable")
     t = np.unique(pdf["us"].to_numpy("int64"))
-    taken = _accepted(t, spacing, last)
+    taken = accepted(t, spacing, last)
     if len(taken):
         last = int(taken[-1])
     return pdf[pdf["us"].isin(taken)], last

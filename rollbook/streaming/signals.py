@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rollbook.functions.times import micros
-from rollbook.operators.signals import throttle_batch
+from rollbook.operators.signals import accepted, throttle_batch
 
 STATE = "last long, us array<long>, id array<long>"
 OUT = "ticker string, us long, id long"
@@ -66,34 +66,41 @@ _SIGNAL_OUT = "event string, ticker string, us long, id long, price double, acti
 
 
 def _releaser(spacing: int, delay: int, idle: int | None):
+    """One ticker's batch by arrays: there may be very many tickers with few rows each."""
+    kinds = ("int64", "int64", "float64", "object")
+
     def step(ids: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, released, *waiting = state.get if state.exists else (None, None, [], [], [], [])
-        kept = [pd.DataFrame(dict(zip(_ROW, map(list, waiting))))]
-        seen = max(kept[0]["us"], default=None)
+        kept = [[np.array(w, k)] for w, k in zip(waiting, kinds)]
+        seen = max(waiting[0], default=None)
         late = []
         for f in frames:
             if last is None:
                 last = int(f["start_us"].iloc[0])
-            newest = int(f["us"].max())
+            columns = [f[c].to_numpy(k) for c, k in zip(_ROW, kinds)]
+            newest = int(columns[0].max())
             seen = newest if seen is None else max(seen, newest)
-            f = f.loc[f["action"].notna(), _ROW]
-            behind = f["us"] <= released if released is not None else np.zeros(len(f), bool)
-            late.append(f[behind])
-            kept.append(f[~behind])
-        rows = pd.concat([k for k in kept if len(k)] or kept[:1], ignore_index=True)
+            acts = pd.notna(columns[3])
+            behind = columns[0] <= released if released is not None else np.zeros(len(acts), bool)
+            late.append([c[acts & behind] for c in columns])
+            for k, c in zip(kept, columns):
+                k.append(c[acts & ~behind])
+        rows = [np.concatenate(k) for k in kept]
         if seen is not None:
             # A ticker that stayed silent has nothing more to wait for.
             upto = seen if state.hasTimedOut else seen - delay
             released = upto if released is None else max(released, upto)
-        due = (rows["us"] <= released).to_numpy(bool) if released is not None else np.zeros(len(rows), bool)
-        passed, last = throttle_batch(rows[due], last, spacing)
-        rows = rows[~due]
-        state.update((last, released, *[rows[c].tolist() for c in _ROW]))
-        if idle is not None and len(rows):
+        due = rows[0] <= released if released is not None else np.zeros(len(rows[0]), bool)
+        taken = accepted(np.unique(rows[0][due]), spacing, last)
+        last = int(taken[-1]) if len(taken) else last
+        passed = [c[due & np.isin(rows[0], taken)] for c in rows]
+        rows = [c[~due] for c in rows]
+        state.update((last, released, *[c.tolist() for c in rows]))
+        if idle is not None and len(rows[0]):
             state.setTimeoutDuration(idle)
         for event, out in ((SIGNAL, passed), *[(LATE, x) for x in late]):
-            if len(out):
-                yield out.assign(event=event, ticker=ids[0])[["event", "ticker", *_ROW]]
+            if len(out[0]):
+                yield pd.DataFrame({"event": event, "ticker": ids[0]} | dict(zip(_ROW, out)))
 
     return step
 
