@@ -2,12 +2,14 @@ import datetime as dt
 
 import books
 import pytest
-from books import at
+from books import alloc, at, fill
 from pyspark.sql import functions as F
 
 from rollbook import schemas
+from rollbook.plans.portfolio import plan_grid, update
 from rollbook.schemas import SchemaError, validate_holdings
 from rollbook.sources import broker, prices, relational, tables
+from rollbook.sources.holdings import PositionTable
 from rollbook.sources.prices import ManifestError, PriceFile
 from rollbook.sources.tables import BatchTable
 
@@ -151,3 +153,27 @@ def test_rows_without_their_log_row_are_not_seen(spark, tmp_path):
     assert [r.port for r in table.read().collect()] == ["1"]
     table.replace_suffix(at(0), books.frame(spark, books.cash_rows(["3"], hour=6), schemas.CASH), "b2")
     assert sorted(r.port for r in table.read().collect()) == ["1", "3"]
+
+
+def test_positions_are_stored_by_interval(spark, tmp_path):
+    """A held position is one stored row however many steps it is listed at; later batches cut it short."""
+    f, a, p = [fill(0.5, "A", "o", "BUY", 4, 10)], [alloc("o", "1", 1.0)], []
+    fills, allocs, prices = books.tables(spark, f, a, p)
+    cash = books.frame(spark, books.cash_rows(["1"]), schemas.CASH)
+    hours = books.frame(spark, [(at(h),) for h in range(1, 9)], "event_ts timestamp_ntz")
+    done = update(None, cash, fills, allocs, prices, hours)
+    table = PositionTable(spark, str(tmp_path / "equity"))
+    table.put(done.intervals, done.grid, "one")
+    assert spark.read.parquet(f"{tmp_path}/equity/rows").count() == 1
+    want = sorted(done.equity.collect())
+    assert sorted(table.read().collect()) == want and len(want) == 8
+    assert sorted(table.read(at(2), at(4)).collect()) == [r for r in want if at(2) <= r.timestamp <= at(4)]
+    late = plan_grid(cash.unionByName(done.cash), hours.where("hour(event_ts) > 5"))
+    again = update(done.equity, cash.unionByName(done.cash), fills, allocs, prices, hours.where("hour(event_ts) > 5"))
+    assert late.start == again.grid.start == at(5)
+    table.put(again.intervals, again.grid, "two")
+    assert sorted((r.timestamp, r.amount, r.mtm) for r in table.read().collect()) == [
+        (r.timestamp, r.amount, r.mtm) for r in want]
+    table.compact("whole")
+    assert sorted((r.timestamp, r.amount, r.mtm) for r in table.read().collect()) == [
+        (r.timestamp, r.amount, r.mtm) for r in want]
