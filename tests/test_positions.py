@@ -7,7 +7,7 @@ from rollbook import schemas
 from rollbook.operators import cash as cash_ops
 from rollbook.operators import fills as fill_ops
 from rollbook.operators import grid as grid_ops
-from rollbook.operators import positions
+from rollbook.operators import positions, reports
 from rollbook.plans.portfolio import plan_grid, replace_suffix, update
 
 
@@ -189,3 +189,12 @@ def test_no_interval_leaves_its_block(spark, monkeypatch):
     found = [(r.step, r.until, r.amount) for r in done.intervals.collect()]
     assert sorted(found) == [(1, 2, 4.0), (3, 5, 4.0), (6, 8, 4.0), (9, 9, 4.0), (10, 10, 0.0)]
     assert done.equity.count() == 10
+
+
+def test_returns_need_no_window_by_episode(spark):
+    """Episodes are told in the order of the steps: sums of P&L sort the rows of a position once."""
+    f, a, p = books.random_book(1)
+    done = run(spark, f, a, p, range(1, 12))
+    plan = reports.interval_returns(done.intervals)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if " Window [" in x]
+    assert windows and not any("episode" in x.split("], ")[-2] for x in windows)
