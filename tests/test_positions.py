@@ -1,3 +1,5 @@
+import dataclasses
+
 import books
 import pytest
 from books import alloc, at, fill
@@ -191,6 +193,37 @@ def test_no_interval_leaves_its_block(spark, monkeypatch):
     assert done.equity.count() == 10
 
 
+@pytest.mark.parametrize("block", [None, 3])
+def test_quotes_by_interval_equal_a_join_of_all_steps(spark, block):
+    """Quotes at exactly a step, and the mean of all steps, without a join of the rows by step."""
+    f, a, p = books.random_book(8)
+    f += [("STK", "U", "u", "BUY", None, 50.0, 0.0, at(0.5), 4.0), fill(4.5, "U", "v", "BUY", 4, 52),
+          ("STK", "W", "w", "BUY", None, 50.0, 0.0, at(0.5), 4.0),  # an amount that never gets known
+          fill(1.5, None, "n", "BUY", 4, 50)]
+    a += [alloc(o, "1", 1.0) for o in "uvwn"]
+    p += [(at(s), t, 40.0 + s, at(s)) for s in (1, 3, 7) for t in ("U", "W")]
+    fills, allocs, prices = books.tables(spark, f, a, p)
+    g = dataclasses.replace(plan_grid(
+        books.frame(spark, books.cash_rows(["1", "2"]), schemas.CASH), events(spark, range(1, 12))), block=block)
+    trades = fill_ops.step_trades(fills, allocs, g)
+    if block:  # in blocks, rows without a ticker are left out
+        trades = trades.where("ticker IS NOT NULL")
+    rows = positions.roll_amounts(trades, g).collect()
+    quotes = {(d, t): x for d, t, x, _ in p}
+    averages = {t: [r.avgPrice for r in rows if r.ticker == t] for t in {r.ticker for r in rows}}
+    means = {t: sum(x) / len(x) for t, x in averages.items()}
+    intervals = positions.quoted_intervals(trades, prices, g)
+
+    def found(df):
+        return sorted(map(repr, ((r.timestamp, r.port, r.ticker, r.amount, r.price and round(r.price, 6)) for r in df.collect())))
+
+    want = [(r.timestamp, r.port, r.ticker, r.amount, quotes.get((r.timestamp, r.ticker))) for r in rows]
+    assert found(positions.quoted_every_step(intervals, F.lit(None).cast("double"), g)) == sorted(map(repr, want))
+    want = [(*r[:4], round(means[r[2]] if r[4] is None else r[4], 6)) for r in want if r[2] is not None]
+    assert found(reports.fill_with_group_mean(intervals, g)) == sorted(map(repr, want))
+    assert {r.ticker for r in rows} >= {"T0", "U", "W"} and any(r.amount is None for r in rows)
+
+
 def test_returns_need_no_window_by_episode(spark):
     """Episodes are told in the order of the steps: sums of P&L sort the rows of a position once."""
     f, a, p = books.random_book(1)
