@@ -5,11 +5,12 @@ import time
 
 import books
 from books import alloc, at, fill
+from pyspark.sql import functions as F
 
 from rollbook import schemas
 from rollbook.operators.execution import match_fills, open_orders
 from rollbook.sources import messages
-from rollbook.streaming import executions, portfolio, signals
+from rollbook.streaming import executions, portfolio, replay, signals
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
@@ -240,3 +241,22 @@ def test_signal_stream_loses_no_row(spark, tmp_path):
         t, ticker, price, _ = rows[r.id]
         assert (r.date, r.ticker, r.price) == (t, ticker, price)
         assert r.action == ("BUY" if price > means[ticker][0] else "SELL")
+
+
+def test_a_replayed_file_is_read_by_many_tasks(spark, tmp_path):
+    """A batch is one file, and all that a batch stores has as many tasks as that file has row groups."""
+    rows = spark.range(1_500_000).select(
+        (F.lit(books.T0).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id"))).alias("date"),
+        F.rand(3).alias("price"))
+    replay.write_replay(rows, str(tmp_path / "in"), "date", 2)
+    seen = []
+
+    def take(batch, batch_id):
+        sizes = [n for n in batch.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+        seen.append((batch_id, len(sizes), sum(sizes)))
+
+    replay.read_replay(spark, str(tmp_path / "in"), rows).writeStream.foreachBatch(take).option(
+        "checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert [batch_id for batch_id, *_ in seen] == [0, 1]
+    assert sum(n for *_, n in seen) == 1_500_000
+    assert all(tasks > 1 for _, tasks, _ in seen), seen
