@@ -7,6 +7,7 @@ import html
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -14,11 +15,12 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import cases  # noqa: E402
 
-from rollbook.llm import classifier, html_text, queries, sentence_pieces, texts  # noqa: E402
+from rollbook.llm import classifier, html_text, queries, sentence_pieces, suffixes, texts  # noqa: E402
 from rollbook.llm.line_dedup import line_dedup  # noqa: E402
 from rollbook.llm.near_dup import near_duplicates  # noqa: E402
 from rollbook.llm.packing import Encoder, packed, plan  # noqa: E402
@@ -140,6 +142,62 @@ def test_substring_dedup(spark, hot):
                 assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
 
 
+def test_substring_dedup_without_broadcasts(spark, monkeypatch):
+    """On large inputs no list of keys is broadcast; parts are then shuffled once, to their group."""
+    monkeypatch.setattr(suffixes, "BROADCAST_IDS", -1)
+    parts, by_key = [], suffixes._by_key
+
+    def seen(df, keys):
+        parts.append(by_key(df, keys))
+        return parts[-1]
+
+    monkeypatch.setattr(suffixes, "_by_key", seen)
+    want = substrings_by_loop(small(cases.rows()))
+    for r in substring_dedup(cases.table(spark), hot=8).collect():
+        if r.doc_id is not None:
+            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+    places = parts[0].select("key", F.spark_partition_id().alias("at")).distinct()
+    assert places.groupBy("key").count().where("count > 1").isEmpty()
+
+
+def test_whole_copies_make_no_segments(spark, monkeypatch):
+    """A copied text has its anchors in two documents, but nothing of it is cut and stored for that."""
+    rnd = random.Random(5)
+    one, other = ("".join(rnd.choice("abcdefgh ") for _ in range(900)) for _ in range(2))
+    kept, stored = suffixes._stored, {}
+
+    def seen(df, name):
+        stored[name] = kept(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(suffixes, "_stored", seen)
+    docs = [(3, one), (4, other), (7, one), (7, one), (9, one)]
+    got = substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(3, 0), (4, 0), (7, 900), (7, 900), (9, 900)]
+    assert stored["repeat-segments"].isEmpty()
+
+
+def test_stored_steps_leave_no_shuffles(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {name for name in names if name.startswith("shuffle_")}
+
+    def left():
+        for _ in range(50):  # executors remove their files in the background
+            if not shuffles() - before:
+                break
+            time.sleep(0.2)
+        return shuffles() - before
+
+    before = shuffles()
+    was = spark.conf.get(suffixes.DROP_SHUFFLES, "false")
+    rows = suffixes._stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "test-dropped")
+    assert sorted(r["count"] for r in rows.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    assert not left()
+    assert spark.conf.get(suffixes.DROP_SHUFFLES, "false") == was
+
+
 def test_suffix_array():
     rng = np.random.default_rng(5)
     for _ in range(500):
