@@ -177,6 +177,59 @@ def test_whole_copies_make_no_segments(spark, monkeypatch):
     assert stored["repeat-segments"].isEmpty()
 
 
+def stored_steps(monkeypatch):
+    """What a run stores, by name."""
+    kept, stored = suffixes._stored, {}
+
+    def seen(df, name):
+        stored[name] = kept(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(suffixes, "_stored", seen)
+    return stored
+
+
+def test_common_phrases_make_no_segments(spark, monkeypatch):
+    """Texts that share many strings of 20 bytes, but none of 33, leave nothing to compare."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
+    phrases = [word(20) for _ in range(5)]
+    docs = [(i, " ".join(word(9) + rnd.choice(phrases) for _ in range(60))) for i in range(12)]
+    stored = stored_steps(monkeypatch)
+    got = substring_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(i, 0) for i in range(12)]
+    assert stored["repeat-segments"].isEmpty()
+
+
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_periodic_texts_make_few_parts(spark, monkeypatch, hot):
+    """Equal parts of one content are one row, and their runs are joined."""
+    docs = [(1, "ab" * 400), (2, "x" + "ab" * 500 + "y"), (3, "ab" * 300 + "z"), (4, "zzz" + "-" * 900), (5, "-" * 700)]
+    parts, few = [], suffixes._by_key
+
+    def seen(df, keys):
+        parts.append(df)
+        return few(df, keys)
+
+    monkeypatch.setattr(suffixes, "_by_key", seen)
+    stored = stored_steps(monkeypatch)
+    want = substrings_by_loop(docs)
+    for r in substring_dedup(spark.createDataFrame(docs, "doc_id long, text string"), hot=hot).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id]
+    assert (stored["repeat-large"] if hot == 1 else parts[0]).count() < 900
+    assert 0 < stored["repeat-runs"].count() < 900
+
+
+def test_groups_of_unequal_strings():
+    """Parts whose keys have one hash but are other strings share nothing."""
+    rows = [(7, 1, i, i, 17, b"l" * 17 + key * 33 + b"r" * 17, [0]) for i, key in ((1, b"a"), (2, b"b"), (3, b"a"))]
+    kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.list_(pa.int32())]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
+                                       ["key", "anchor", "hash", "first", "inner", "part", "shifts"])
+    out = pa.Table.from_batches(suffixes._grouped(iter([batch]))).to_pylist()
+    assert [tuple(r.values()) for r in out] == [(1, 3, 3, 0, 18)]
+
+
 def test_stored_steps_leave_no_shuffles(spark):
     def shuffles():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
