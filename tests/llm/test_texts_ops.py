@@ -230,6 +230,23 @@ def test_groups_of_unequal_strings():
     assert [tuple(r.values()) for r in out] == [(1, 3, 3, 0, 18)]
 
 
+def test_trimmed_parts():
+    """No shared window is lost with the outer bytes, and parts without one are not looked at."""
+    rnd = random.Random(3)
+    for _ in range(200):
+        side = lambda: bytes(rnd.choice(b"ab") for _ in range(rnd.choice((9, 17, 17))))
+        parts = list({(len(left), left + b"k" * 33 + side()): 0 for left in (side() for _ in range(6))})
+        firsts = [rnd.randint(1, 3) for _ in parts]
+        windows = [{(at, part[at : at + 50]) for at in range(len(part) - 49)} for _, part in parts]
+        aligned = [{(at - inner, w): at for at, w in own} for (inner, _), own in zip(parts, windows)]
+        want = {(k, at) for k, own in enumerate(aligned) for x, at in own.items()
+                if any(x in other and firsts[j] < firsts[k] for j, other in enumerate(aligned))}
+        some = suffixes._trimmed(parts)
+        runs = suffixes.shared_windows([x[2] for x in some], [firsts[x[0]] for x in some])
+        assert {(some[k][0], some[k][1] + at + i) for k, at, n in runs for i in range(n)} == want
+    assert not suffixes._trimmed([(17, b"a" * 17 + b"k" * 33 + b"b" * 17), (17, b"c" * 17 + b"k" * 33 + b"d" * 17)])
+
+
 def test_stored_steps_leave_no_shuffles(spark):
     def shuffles():
         files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
