@@ -220,6 +220,18 @@ def test_periodic_texts_make_few_parts(spark, monkeypatch, hot):
     assert 0 < stored["repeat-runs"].count() < 900
 
 
+def test_windows_of_large_groups_are_not_broadcast(spark):
+    """Spark takes the exploded windows for as small as the parts; equal parts are compared once."""
+    rnd = random.Random(4)
+    text = "".join(rnd.choice("abcdefgh") for _ in range(60))
+    rows = [(1, i, i, text.encode(), [0, 3] if i == 5 else [i]) for i in range(2, 9)] + [(1, 9, 1, text[:55].encode(), [7]), (1, 10, 1, b"-" * 50, [0])]
+    df = spark.createDataFrame(rows, "anchor long, hash long, first long, part binary, shifts array<int>")
+    runs = suffixes._dealt(df)
+    assert sorted(runs.collect()) == [(1, 2, 2, 2, 6)] + [(1, i, i, i if i != 5 else 0, 11 if i != 5 else 14) for i in range(3, 9)]
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_groups_of_unequal_strings():
     """Parts whose keys have one hash but are other strings share nothing."""
     rows = [(7, 1, i, i, 17, b"l" * 17 + key * 33 + b"r" * 17, [0]) for i, key in ((1, b"a"), (2, b"b"), (3, b"a"))]
