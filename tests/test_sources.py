@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import books
 import pytest
@@ -8,10 +9,12 @@ from pyspark.sql import functions as F
 from rollbook import schemas
 from rollbook.plans.portfolio import plan_grid, update
 from rollbook.schemas import SchemaError, validate_holdings
+from rollbook.session import materialize
 from rollbook.sources import broker, prices, relational, tables
 from rollbook.sources.holdings import PositionTable
 from rollbook.sources.prices import ManifestError, PriceFile
 from rollbook.sources.tables import BatchTable
+from rollbook.streaming import replay
 
 
 def test_price_files(spark, tmp_path):
@@ -177,3 +180,29 @@ def test_positions_are_stored_by_interval(spark, tmp_path):
     table.compact("whole")
     assert sorted((r.timestamp, r.amount, r.mtm) for r in table.read().collect()) == [
         (r.timestamp, r.amount, r.mtm) for r in want]
+
+
+def test_writes_leave_no_shuffles(spark, tmp_path):
+    """What a batch stores keeps only its rows on the disks, whenever the driver collects its garbage."""
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (files.apply(i).getName() for i in range(files.size()))
+        return {name for name in names if name.startswith("shuffle_")}
+
+    def left():
+        for _ in range(25):  # executors remove their files in the background
+            if not shuffles() - before:
+                break
+            time.sleep(0.2)
+        return shuffles() - before
+
+    cash = books.frame(spark, books.cash_rows(["1", "2"]), schemas.CASH)
+    summed = cash.groupBy("timestamp", "port", "ccy").agg(*[F.sum(c).alias(c) for c in ("amount", "cost_basis")])
+    writes = {
+        "materialize": lambda: materialize(summed, "test-dropped"),
+        "batch": lambda: BatchTable(spark, f"{tmp_path}/cash", schemas.CASH, "timestamp")._written(summed, "one"),
+        "replay": lambda: replay.write_replay(summed, f"{tmp_path}/replay", "timestamp", 2)}
+    for name, write in writes.items():
+        before = shuffles()
+        write()
+        assert not left(), name
