@@ -193,6 +193,15 @@ def test_no_interval_leaves_its_block(spark, monkeypatch):
     assert done.equity.count() == 10
 
 
+def test_blocks_shuffle_rows_once_at_the_end(spark, monkeypatch):
+    """What blocks take over is stored: its shuffles are not kept beside those of the rows."""
+    monkeypatch.setattr(grid_ops, "WINDOW_STEPS", 0)
+    monkeypatch.setattr(grid_ops, "BLOCK_STEPS", 3)
+    f, a, p = books.random_book(2)
+    plan = run(spark, f, a, p, range(1, 12)).intervals._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 @pytest.mark.parametrize("block", [None, 3])
 def test_quotes_by_interval_equal_a_join_of_all_steps(spark, block):
     """Quotes at exactly a step, and the mean of all steps, without a join of the rows by step."""
